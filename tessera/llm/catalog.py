@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.formatdup import collapse_formatting
 from tessera.llm.leak import leaked_items
 from tessera.llm.packing import pack_windows
+from tessera.llm.secrets import secrets_in
 from tessera.llm.split import split_oversized
 from tessera.session import table
 
@@ -37,6 +38,18 @@ def p3_commands(spark: SparkSession, d: str) -> DataFrame:
     return collapse_formatting(table(spark, d, "failures"), "failure_id", "command")
 
 
+def p5_secrets(spark: SparkSession, d: str) -> DataFrame:
+    """Every secret of the three columns with its place and the masked text."""
+    failures = table(spark, d, "failures")
+    parts = (("symbols.content", table(spark, d, "symbols"), "id", "content"), ("failures.command", failures, "failure_id", "command"), ("failures.symptom", failures, "failure_id", "symptom"))
+    found = [secrets_in(rows, key, text).select(F.lit(src).alias("src"), "*") for src, rows, key, text in parts]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_secrets(spark, d).select("src", "row_id", "secret").distinct()
+
+
 def p7_windows(spark: SparkSession, d: str) -> DataFrame:
     return pack_windows(table(spark, d, "documents"), "doc_id", "text")
 
@@ -67,7 +80,7 @@ WHERE len(regexp_extract_all(text, '\p{L}+|\p{Nd}{1,3}|[^\p{L}\p{Nd}\s\x{0B}\x{8
 
 P8_FOUND = r"""
 WITH iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM eval_items),
-ig AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 12], ' ') AS g FROM iw, range(1, len(w) - 11) r(i)),
+ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS g FROM iw WHERE len(w) >= 13),
 dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS g FROM dw WHERE len(w) >= 13)
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
@@ -75,7 +88,7 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_commands, p7_found, p7_windows, p8_found, p8_leaks)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_commands, p5_found, p5_secrets, p7_found, p7_windows, p8_found, p8_leaks)}
 
 
 def oracle_sql() -> dict[str, str]:
