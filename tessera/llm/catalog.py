@@ -10,13 +10,31 @@ from pyspark.sql import functions as F
 from tessera.llm.formatdup import collapse_formatting
 from tessera.llm.leak import leaked_items
 from tessera.llm.packing import pack_windows
+from tessera.llm.pii import pseudonymised
 from tessera.llm.secrets import secrets_in
 from tessera.llm.split import split_oversized
+from tessera.llm.truncation import truncated_texts, truncation_rates
 from tessera.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_pseudonymised(spark: SparkSession, d: str) -> DataFrame:
+    """Every text of the three columns with typed placeholders, and the kinds found in it."""
+    parts = (
+        ("memories.body", pseudonymised(table(spark, d, "memories"), "rev_id", "body")),
+        ("failures.symptom", pseudonymised(table(spark, d, "failures"), "failure_id", "symptom")),
+        ("commits.author", pseudonymised(table(spark, d, "commits"), "commit_id", "author", author=True)),
+    )
+    found = [rows.select(F.lit(src).alias("src"), "*") for src, rows in parts]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """kinds holds a kind once and ids are unique, so the rows are distinct without a shuffle."""
+    return p1_pseudonymised(spark, d).select("src", "row_id", F.explode("kinds").alias("kind"))
+
+
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Every piece of every oversized chunk and symbol."""
     chunks = split_oversized(table(spark, d, "chunks"), "chunk_id", "content")
@@ -68,6 +86,19 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).where("distance = 0").select("doc_id", "item_id")
 
 
+def p9_judged(spark: SparkSession, d: str) -> DataFrame:
+    return truncated_texts(table(spark, d, "documents"), "doc_id", "text", "source")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_judged(spark, d).where("truncated").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source truncates."""
+    return truncation_rates(p9_judged(spark, d))
+
+
 P2_FOUND = """
 SELECT 'chunks.content' AS src, chunk_id AS row_id FROM chunks WHERE length(content) > 2000
 UNION ALL SELECT 'symbols.content', id FROM symbols WHERE length(content) > 2000
@@ -88,7 +119,7 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_commands, p5_found, p5_secrets, p7_found, p7_windows, p8_found, p8_leaks)}
+    return {f.__name__: f for f in (p1_found, p1_pseudonymised, p2_found, p2_pieces, p3_found, p3_commands, p5_found, p5_secrets, p7_found, p7_windows, p8_found, p8_leaks, p9_found, p9_judged, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
