@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.docpairs import function_pairs
 from tessera.llm.formatdup import collapse_formatting
 from tessera.llm.leak import leaked_items
 from tessera.llm.packing import pack_windows
@@ -56,6 +57,15 @@ def p3_commands(spark: SparkSession, d: str) -> DataFrame:
     return collapse_formatting(table(spark, d, "failures"), "failure_id", "command")
 
 
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Code and description of every documented function."""
+    return function_pairs(table(spark, d, "symbols"), "id", "content", "file_path")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_pairs(spark, d).select(F.col("row_id").alias("id"), "func_name").distinct()
+
+
 def p5_secrets(spark: SparkSession, d: str) -> DataFrame:
     """Every secret of the three columns with its place and the masked text."""
     failures = table(spark, d, "failures")
@@ -119,7 +129,7 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pseudonymised, p2_found, p2_pieces, p3_found, p3_commands, p5_found, p5_secrets, p7_found, p7_windows, p8_found, p8_leaks, p9_found, p9_judged, p9_rates)}
+    return {f.__name__: f for f in (p1_found, p1_pseudonymised, p2_found, p2_pieces, p3_found, p3_commands, p4_found, p4_pairs, p5_found, p5_secrets, p7_found, p7_windows, p8_found, p8_leaks, p9_found, p9_judged, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
