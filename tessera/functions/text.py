@@ -26,3 +26,177 @@ def slugify(text: Column, fallback: Column | str = "") -> Column:
 def memory_id(text: Column) -> Column:
     """An id as the project reads it: every name between slashes as a slug."""
     return F.array_join(F.transform(F.split(text, "/"), lambda part: slugify(part)), "/")
+
+
+# Phrase rules of prose compression, applied in this order between word boundaries.
+PHRASES = (
+    ("please", ""),
+    ("make sure to", ""),
+    ("you should", ""),
+    ("you need to", ""),
+    ("it is important to", ""),
+    ("in order to", "to"),
+    ("due to the fact that", "because"),
+    ("at this point in time", "now"),
+    ("for the purpose of", "for"),
+    ("the ability to", "can"),
+    ("utilize", "use"),
+    ("approximately", "~"),
+    ("additional", "more"),
+    ("currently", "now"),
+    ("therefore", "so"),
+    ("however", "but"),
+    ("because", "bc"),
+    ("without", "w/o"),
+    ("with", "w/"),
+    ("and", "&"),
+    ("that", ""),
+    ("(?:the|a|an)", ""),
+    ("(?:just|very|really|actually|basically|simply|probably|maybe|perhaps|kind of|sort of)", ""),
+)
+# Credential shapes that are removed before sharing.
+BEARER = r"Bearer\s+[A-Za-z0-9._~+/-]+=*"
+TOKEN_SHAPES = r"(?:github_pat_[A-Za-z0-9_]{20,}|gh[pousr]_[A-Za-z0-9]{20,}|sk-(?:proj-)?[A-Za-z0-9_-]{16,}|xox[baprs]-[A-Za-z0-9-]{10,}|AKIA[0-9A-Z]{16})"
+KEY_VALUES = r"""((?:api[_-]?key|access[_-]?token|auth[_-]?token|token|secret|password|passwd|authorization)\s*[:=]\s*)(?:"[^"\n]*"|'[^'\n]*'|[^\s,;]+)"""
+# Words that make a line worth keeping.
+KEYWORDS = "(?:decision|decided|todo|fixme|remember|constraint|invariant|architecture|root cause|bug|follow[- ]?up)"
+# Signals of a task's scale.
+LARGE = "(?:refactor|redesign|migrate|rewrite|architecture|multiple|system|platform|across|all)"
+SMALL = "(?:fix|typo|rename|add|update|change|one|single|simple)"
+# Commands that destroy more than they should.
+FOOTGUNS = (
+    r"rm\s+-rf\s+/\*?(?:$|\s)",
+    r"rm\s+-rf\s+(?:~|\$HOME)(?:$|\s)",
+    r"rm\s+-rf\s+(?:\.|\./|\*)(?:$|\s)",
+    r"git\s+clean\s+.*-[^\s]*[fx]",
+    r"git\s+reset\s+--hard",
+    r"mkfs(?:[^A-Za-z0-9_]|$)",
+    r"dd\s+if=.*of=/dev",
+    r":\(\)\{.*\}",
+    r"(?:curl|wget)[^A-Za-z0-9_][^|;]*[|;]\s*(?:sh|bash)(?:[^A-Za-z0-9_]|$)",
+)
+# Files that commonly hold credentials.
+SECRET_FILES = (".npmrc", ".netrc", ".pgpass", ".htpasswd", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", "credentials", ".git-credentials")
+SECRET_NAMES = (r"^\.env(?:\..+)?$", r"\.(?:pem|key|p12|pfx|keystore|jks)$", r"^service[-_]?account.*\.json$")
+SECRET_FOLDERS = (".aws", ".docker", ".ssh")
+# Paths of tests.
+TEST_FILES = (r"[/\\]test[/\\]", r"[/\\]__tests__[/\\]", r"\.test\.[jt]sx?$", r"\.spec\.[jt]sx?$", r"_test\.(?:go|py|rs)$", r"test_.*\.py$")
+# Labels of a version control status code.
+STATUS_CODES = {
+    "M ": "modified (staged)", " M": "modified", "A ": "added", " D": "deleted", "D ": "deleted (staged)", "??": "untracked", "R ": "renamed", "AM": "added+modified", "UU": "conflict",
+}
+
+
+def any_match(text: Column, patterns: tuple[str, ...], flags: str = "") -> Column:
+    """Whether one of the patterns is found; one pass of one expression."""
+    return text.rlike(flags + "|".join(f"(?:{p})" for p in patterns))
+
+
+def compress_prose(text: Column) -> Column:
+    """Prose with filler removed and common phrases shortened; blank text stays as it is."""
+    body = text
+    for phrase, short in PHRASES:
+        body = F.regexp_replace(body, ascii_word(f"(?i:{phrase})"), short)
+    body = F.regexp_replace(body, r"\s+([,.;:!?])", "$1")
+    body = F.regexp_replace(body, r"([,;:!?])\1+", "$1")
+    body = F.regexp_replace(body, r"\s{2,}", " ")
+    body = F.regexp_replace(body, r"\s+-\s+", " — ")
+    body = trim_all(body)
+    lead, trail = F.regexp_extract(text, r"^\s*", 0), F.regexp_extract(text, r"\s*$", 0)
+    return F.when(trim_all(text) == "", text).when(body == "", "").otherwise(F.concat(lead, body, trail))
+
+
+def redact(text: Column, roots: tuple[str, ...] = ()) -> Column:
+    """Local paths and the usual credential shapes removed; the longest root first."""
+    out = text
+    for root in sorted({r for r in roots if len(r) > 1}, key=lambda r: (-len(r), r)):
+        out = F.replace(out, F.lit(root), F.lit("[REDACTED_PATH]"))
+    out = F.regexp_replace(out, rf"(?i)(?<![A-Za-z0-9_]){BEARER}", "Bearer [REDACTED]")
+    out = F.regexp_replace(out, ascii_word(TOKEN_SHAPES), "[REDACTED_SECRET]")
+    return F.regexp_replace(out, f"(?i){KEY_VALUES}", "$1[REDACTED]")
+
+
+def has_keyword(line: Column, keywords: str = KEYWORDS) -> Column:
+    return line.rlike(ascii_word(f"(?i:{keywords})"))
+
+
+def is_test_file(path: Column) -> Column:
+    return any_match(path, TEST_FILES)
+
+
+def is_secret_path(path: Column) -> Column:
+    parts = F.split(path, r"[/\\]")
+    base, folder = F.element_at(parts, -1), F.try_element_at(parts, F.lit(-2))
+    return base.isin(*SECRET_FILES) | any_match(base, SECRET_NAMES, "(?i)") | F.coalesce(folder.isin(*SECRET_FOLDERS), F.lit(False))
+
+
+def is_footgun(command: Column) -> Column:
+    return any_match(command, FOOTGUNS)
+
+
+def valid_scope(scope: Column) -> Column:
+    return scope.rlike(r"^[a-z0-9](?:[a-z0-9-]{0,78}[a-z0-9])?$")
+
+
+def remote_path(remote: Column) -> Column:
+    """A remote's path without scheme, login, host and .git; null if nothing is left."""
+    raw = trim_all(remote)
+    path = F.when(raw.contains("://"), F.regexp_extract(raw, r"^[^:]+://[^/]*(/.*)?$", 1)).when(raw.rlike(r"^(?:[^@/]+@)?[^:/]+:.+$"), F.regexp_extract(raw, r"^(?:[^@/]+@)?[^:/]+:(.+)$", 1)).otherwise(raw)
+    path = F.regexp_replace(F.replace(F.regexp_replace(path, r"[?#].*$", ""), F.lit("\\"), F.lit("/")), "^/+|/+$", "")
+    path = F.regexp_replace(path, r"(?i)\.git$", "")
+    return F.when(F.length(path) > 0, path)
+
+
+def project_scope(base: Column, key: Column, digits: int = 8) -> Column:
+    slug = F.regexp_replace(F.lower(base), "[^a-z0-9]+", "-")
+    return F.concat(F.when(F.length(slug) > 0, slug).otherwise("project"), F.lit("-"), F.substring(F.sha2(key, 256), 1, digits))
+
+
+def collection_for(kind: Column) -> Column:
+    return F.when(kind == "Decision", "decisions").when(kind == "FailureRecord", "failures").otherwise("general")
+
+
+def task_scale(task: Column) -> Column:
+    words = F.size(F.split(task, r"\s+"))
+    return F.when((words > 50) | task.rlike(ascii_word(f"(?i:{LARGE})")), "large").when((words < 15) & task.rlike(ascii_word(f"(?i:{SMALL})")), "small").otherwise("medium")
+
+
+def html_escape(text: Column) -> Column:
+    for c, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(c), F.lit(name))
+    return text
+
+
+def describe_status(code: Column) -> Column:
+    out = F.coalesce(F.when(F.trim(code) != "", F.trim(code)), F.lit("changed"))
+    for k, label in reversed(STATUS_CODES.items()):
+        out = F.when(code == k, label).otherwise(out)
+    return out
+
+
+def strip_json_comments(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, r"/\*[\s\S]*?\*/", ""), r"(?m)(?<!:)//.*$", "")
+
+
+def next_path(body: Column) -> Column:
+    return F.when(body.rlike(r"→ \*\*Next path:\*\*\s*.+"), F.trim(F.regexp_extract(body, r"→ \*\*Next path:\*\*\s*(.+)", 1)))
+
+
+def bounded_int(value: Column, low: int, high: int, fallback: int) -> Column:
+    """Whole number of a string or number within bounds; blank, unreadable and non-finite values give the fallback."""
+    read = value.try_cast("double")
+    good = read.isNotNull() & ~F.isnan(read) & (F.abs(read) < 9e15)
+    return F.when(good, F.least(F.lit(high), F.greatest(F.lit(low), F.floor(read)))).otherwise(F.lit(fallback)).cast("long")
+
+
+def percent_saved(part: Column, whole: Column) -> Column:
+    """Share saved in percent, halves rounded up."""
+    return F.when(whole > 0, F.floor((1 - part / whole) * 100 + 0.5)).otherwise(0).cast("long")
+
+
+TOKENS = r"\p{L}+|\p{Nd}{1,3}|[^\s\p{L}\p{Nd}]"
+
+
+def count_tokens(text: Column) -> Column:
+    """Surrogate token count: letter runs, up to three digits, other single characters."""
+    return F.regexp_count(text, F.lit(TOKENS))
