@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import collection_for, slugify
+from tessera.functions.text import collection_for, slugify, trim_all
 from tessera.operators.memory import active, front_matter, parse_front_matter
 
 
 def read_memories(spark: SparkSession, root: str) -> DataFrame:
     """All memories below root with their id from the path; index.md and unreadable documents are left out."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("document"))
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("document"))
     files = files.where(~F.col("path").endswith("/index.md"))
     parts = F.split(F.regexp_replace("path", r"\.md$", ""), "/")
     files = files.select(F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1)).alias("id"), "document")
@@ -58,4 +58,4 @@ def parse_session(texts: DataFrame, key: str, text: str) -> DataFrame:
     body = texts.where(F.col(text).isNotNull()).select(F.col(key), F.when(F.size(wanted) > 0, F.array_join(wanted, "\n")).otherwise(F.col(text)).alias("body"))
     blocks = F.filter(F.split("body", r"(?m)^(?=### )"), lambda b: b.startswith("### "))
     one = body.select(key, F.posexplode(blocks).alias("place", "b"))
-    return one.select(key, "place", F.trim(F.regexp_extract("b", r"^### (.*)", 1)).alias("title"), F.trim(F.regexp_replace(F.regexp_replace("b", r"^### .*\n?", ""), r"(?s)\n## .*$", "")).alias("block"))
+    return one.select(key, "place", F.trim(F.regexp_extract("b", r"^### (.*)", 1)).alias("title"), trim_all(F.regexp_replace(F.regexp_replace("b", r"^### .*\n?", ""), r"(?s)\n## .*$", "")).alias("block"))
