@@ -6,14 +6,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def ascii_word(pattern: str) -> str:
-    """pattern between ASCII word boundaries, which Java's \\b are not."""
-    return rf"(?<![A-Za-z0-9_]){pattern}(?![A-Za-z0-9_])"
+def ascii_word(pattern: str, first: str = "") -> str:
+    """pattern between ASCII word boundaries, which Java's \\b are not.
+
+    first names the characters it can begin with: they are looked at before anything else, so most places fail at once.
+    """
+    look = f"(?=[{first}])" if first else ""
+    return rf"{look}(?<![A-Za-z0-9_]){pattern}(?![A-Za-z0-9_])"
+
+
+def first_letters(phrase: str) -> str:
+    """Both cases of the letters that a phrase or a group of phrases can begin with."""
+    letters = {w[0] for w in phrase.removeprefix("(?:").removesuffix(")").split("|")}
+    return "".join(sorted({c for x in letters for c in (x.lower(), x.upper())}))
+
+
+def once(value: Column, use) -> Column:
+    """use(value), with value computed a single time in each row."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def trim_all(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.trim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def slugify(text: Column, fallback: Column | str = "") -> Column:
@@ -96,14 +111,15 @@ def compress_prose(text: Column) -> Column:
     """Prose with filler removed and common phrases shortened; blank text stays as it is."""
     body = text
     for phrase, short in PHRASES:
-        body = F.regexp_replace(body, ascii_word(f"(?i:{phrase})"), short)
+        body = F.regexp_replace(body, ascii_word(f"(?i:{phrase})", first_letters(phrase)), short)
     body = F.regexp_replace(body, r"\s+([,.;:!?])", "$1")
     body = F.regexp_replace(body, r"([,;:!?])\1+", "$1")
     body = F.regexp_replace(body, r"\s{2,}", " ")
     body = F.regexp_replace(body, r"\s+-\s+", " — ")
     body = trim_all(body)
-    lead, trail = F.regexp_extract(text, r"^\s*", 0), F.regexp_extract(text, r"\s*$", 0)
-    return F.when(trim_all(text) == "", text).when(body == "", "").otherwise(F.concat(lead, body, trail))
+    lead = F.regexp_extract(text, r"^\s*", 0)
+    trail = F.when(text.rlike(r"\s$"), F.regexp_extract(text, r"(\s+)$", 1)).otherwise("")
+    return F.when(trim_all(text) == "", text).otherwise(once(body, lambda b: F.when(b == "", "").otherwise(F.concat(lead, b, trail))))
 
 
 def redact(text: Column, roots: tuple[str, ...] = ()) -> Column:

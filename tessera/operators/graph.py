@@ -93,7 +93,8 @@ def build_edges(symbols: DataFrame, exports: DataFrame | None = None, aliases: l
     the defined result. The targets of a name are counted before the join, and references with a
     file to go to are joined by name and file, so only truly ambiguous ones fan out.
     """
-    nodes = symbol_nodes(symbols)
+    cutter = Cutter(symbols.sparkSession, "edges")
+    nodes = cutter.cut(symbol_nodes(symbols))  # read in five places below
     contains = nodes.select(F.concat(F.lit("file:"), "file_path").alias("src"), F.col("node").alias("dst"), F.lit("contains").alias("type"), F.lit("EXTRACTED").alias("confidence"), F.lit("declared in file").alias("reason"))
     refs = references(symbols)
     files = nodes.select("file_path").distinct()
@@ -116,7 +117,7 @@ def build_edges(symbols: DataFrame, exports: DataFrame | None = None, aliases: l
         F.when(F.col("n") == 1, "one").when(F.col("at_goal") > 0, "import").when(F.col("n").isNull(), None)
         .when(F.coalesce("at_home", F.lit(0)) - self_here > 0, "home").otherwise("any")
     )
-    refs = refs.withColumn("kind", kind).where("kind is not null")
+    refs = cutter.cut(refs.withColumn("kind", kind).where("kind is not null").select("node", "file_path", "ref_name", "ref_type", "only", "goal", "goal_name", "kind"))
     one = refs.where("kind = 'one'").select("node", F.col("only").alias("dst"), "ref_type", F.lit("EXTRACTED").alias("confidence"), F.lit("only symbol of the name").alias("reason"))
     goal = refs.where("kind = 'import'").join(by_file, (F.col("goal") == F.col("t_file")) & (F.col("goal_name") == F.col("t_name"))).select("node", "dst", "ref_type", F.lit("EXTRACTED").alias("confidence"), F.lit("imported file").alias("reason"))
     home = refs.where("kind = 'home'").join(by_file, (F.col("file_path") == F.col("t_file")) & (F.col("ref_name") == F.col("t_name"))).select("node", "dst", "ref_type", F.lit("EXTRACTED").alias("confidence"), F.lit("same file").alias("reason"))

@@ -1,7 +1,7 @@
 """Ranked retrieval: BM25 over documents and memories, and prefix search over symbols.
 
-Only the query's terms are ever counted, in place, by expressions over each row's token array:
-no token is exploded and no postings are shuffled. Corpus statistics are one aggregate row.
+Only the query's terms are ever counted, in place, by expressions over each row's text: no token
+is exploded and no postings are shuffled. Corpus statistics are one aggregate row.
 """
 
 from __future__ import annotations
@@ -12,25 +12,18 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import ascii_word
+
 # Words a symbol query does without.
 STOP_WORDS = ("a", "an", "and", "are", "for", "from", "in", "is", "of", "on", "or", "the", "to", "what", "where", "which", "with")
 
 
-def memory_tokens(text: Column) -> Column:
-    """Runs of two or more ASCII word characters of the lower-cased text."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(\w{2,})"), F.lit(1))
-
-
 def weighted_text(weights: dict[str, int]) -> Column:
     """Fields repeated as often as they weigh; arrays are joined by spaces, nulls left out."""
     parts = [F.col(name) for name, times in weights.items() for _ in range(times)]
     return F.concat_ws(" ", *parts)
 
 
-def _equals(word: str):
-    return lambda token: token == word
-
-
 def bm25_topk(docs: DataFrame, key: str, text: Column, query: str, limit: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(key, score) of the best rows with a positive score; ties by key.
 
@@ -42,8 +35,8 @@ def bm25_topk(docs: DataFrame, key: str, text: Column, query: str, limit: int =
     if not terms:
         return docs.select(F.col(key), F.lit(0.0).alias("score")).orderBy(key).limit(limit)
     distinct = list(dict.fromkeys(terms))
-    counted = docs.select(F.col(key), memory_tokens(F.coalesce(text, F.lit(""))).alias("tokens"))
-    counted = counted.select(F.col(key), F.size("tokens").alias("length"), *[F.size(F.filter("tokens", _equals(q))).alias(f"tf{k}") for k, q in enumerate(distinct)])
+    low = docs.select(F.col(key), F.lower(F.coalesce(text, F.lit(""))).alias("low"))
+    counted = low.select(F.col(key), F.regexp_count("low", F.lit(r"\w{2,}")).alias("length"), *[F.regexp_count("low", F.lit(ascii_word(q, q[0]))).alias(f"tf{k}") for k, q in enumerate(distinct)])
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(distinct))]).first()
     n, mean = stats["n"], stats["mean"] or 1.0
     score = F.lit(0.0)
