@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.cut import Cutter
+
 DASHES = r"\-‐-―−"
 BUCKETS = 1024  # ranges of dictionary integers that are numbered independently
 
@@ -71,12 +73,14 @@ def collapse_formatting(rows: DataFrame, key: str, command: str) -> DataFrame:
     itself. Null commands give no row; commands without any letter or digit form one group.
 
     Exact repeats are counted before anything else is shuffled, and groups are summed map-side,
-    so a command that holds a third of the rows never meets in one task. A frequent field can
+    so a command that holds a third of the rows never meets in one task. The distinct commands'
+    fields are written once to the shared checkpoint folder and read twice. A frequent field can
     hold many of the rows of the dictionary join; adaptive execution splits that partition.
     """
     raw = rows.select(F.col(key).alias("rec"), F.col(command).alias("command")).where(F.col("command").isNotNull())
     raw = raw.groupBy("command").agg(F.min("rec").alias("rec"), F.count(F.lit(1)).alias("n"))
     fields = with_fields(raw).select("rec", "n", F.explode("fields").alias("f")).select("rec", "n", "f.kind", "f.pos", "f.raw")
+    fields = Cutter(rows.sparkSession, "formatdup").cut(fields)  # read for the dictionary and for the tuples
     coded = fields.join(dictionary(fields), "raw").select("rec", "n", F.struct("kind", "pos", "code").alias("e"))
     tuples = coded.groupBy("rec").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("e")).alias("es"))
     tuples = tuples.select("rec", "n", F.transform("es", lambda e: F.struct(e["kind"].alias("kind"), e["code"].alias("code"))).alias("tuple"))
