@@ -119,12 +119,14 @@ SELECT doc_id FROM documents
 WHERE len(regexp_extract_all(text, '\p{L}+|\p{Nd}{1,3}|[^\p{L}\p{Nd}\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]')) > 2048
 """
 
-P8_FOUND = r"""
-WITH iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM eval_items),
-ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS g FROM iw WHERE len(w) >= 13),
-dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
-dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS g FROM dw WHERE len(w) >= 13)
-SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+_GRAM = "w || " + " || ".join(f"' ' || lead(w, {k}) OVER o" for k in range(1, 13))
+_WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+P8_FOUND = f"""
+WITH i0 AS (SELECT item_id, {_WORDS} AS ws FROM eval_items), i1 AS (SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS n FROM i0),
+d0 AS (SELECT doc_id, {_WORDS} AS ws FROM documents), d1 AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS n FROM d0),
+i2 AS (SELECT DISTINCT item_id, {_GRAM} AS g FROM i1 WINDOW o AS (PARTITION BY item_id ORDER BY n)),
+d2 AS (SELECT doc_id, {_GRAM} AS g FROM d1 WINDOW o AS (PARTITION BY doc_id ORDER BY n))
+SELECT DISTINCT doc_id, item_id FROM d2 JOIN i2 USING (g)
 """
 
 
