@@ -184,7 +184,7 @@ def test_provider(spark):
             raise ValueError("private words")
         return [{"text": query, "wing": "w", "room": "r", "source_file": "f", "similarity": 0.5}] * 3
 
-    spark.dataSource.register(provider_source("palace", search))
-    assert spark.read.format("palace").option("query", "q" * 300).option("limit", "2").load().collect() == [("q" * 250, "w", "r", "f", 0.5)] * 2
+    spark.dataSource.register(provider_source("stub", search))
+    assert spark.read.format("stub").option("query", "q" * 300).option("limit", "2").load().collect() == [("q" * 250, "w", "r", "f", 0.5)] * 2
     with pytest.raises(Exception, match="the provider failed"):
-        spark.read.format("palace").option("query", "down").load().collect()
+        spark.read.format("stub").option("query", "down").load().collect()
