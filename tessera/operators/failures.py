@@ -2,48 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-CLEAN, RECORDED, BLOCKING = "CLEAN", "RECORDED", "BLOCKING"
+CLEAN, RECORDED, BLOCKING = STATES = ("CLEAN", "RECORDED", "BLOCKING")
 
 
-def guard_batch(events: DataFrame, keys: list[str], order: list[str], ok: str, retry: str) -> DataFrame:
+def guard_batch(events: DataFrame, keys: list[str], order: str, ok: str, retry: str, width: int = 1_000_000) -> DataFrame:
     """Adds state_before, state_after and refused to every event of a command's log.
 
     The first failure after a success is recorded, the second blocks. An attempt while blocked is
     refused, changes nothing and isn't run, unless it is an explicit retry. A success that is run
-    clears the record. A null outcome counts as a failure.
+    clears the record. A null outcome counts as a failure, null keys are keys like others.
 
-    Between two clearing successes the number of failures decides the state, so it is a count
-    over a window that restarts after each of them: a success clears if it comes before the block
-    or is an explicit retry. Whether an unforced success meets a block depends on the failures
-    since the last success of any kind that cleared; those are found with a second window. A hot
-    key's log is ordered by definition; its window spills and keeps no list in memory.
+    order is a whole number that orders a key's log. The log is cut into stretches of `width`
+    numbers, so that a command that holds a third of all rows is spread over many tasks: a first
+    pass finds where a stretch leads from each of the three states, these few rows are chained
+    for each key, and a second pass fills in the states from each stretch's own beginning.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    good = F.coalesce(F.col(ok), F.lit(False))
-    force = F.coalesce(F.col(retry), F.lit(False))
-    # an unforced success clears only if at most one failure came since the last clearing success;
-    # failures are counted between successes of either kind, and a forced success always clears
-    run = events.withColumn("_good", good).withColumn("_force", force)
-    run = run.withColumn("_span", F.coalesce(F.count_if(F.col("_good") & F.col("_force")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ws = Window.partitionBy(*keys, "_span").orderBy(*order)
-    before = ws.rowsBetween(Window.unboundedPreceding, -1)
-    # within a span without forced successes the block holds from the second of two failures that no success parts
-    run = run.withColumn("_part", F.coalesce(F.count_if("_good").over(before), F.lit(0)))
-    wp = Window.partitionBy(*keys, "_span", "_part").orderBy(*order)
-    run = run.withColumn("_fails", F.coalesce(F.count_if(~F.col("_good")).over(wp.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    run = run.withColumn("_blocks", ~F.col("_good") & (F.col("_fails") >= 1))
-    run = run.withColumn("_blocked", F.coalesce(F.max("_blocks").over(before), F.lit(False)))
-    state = F.when(F.col("_blocked"), BLOCKING).when(F.col("_fails") == 1, RECORDED).otherwise(CLEAN)
-    refused = F.col("_blocked") & ~F.col("_force")
-    after = F.when(refused, BLOCKING).when(F.col("_good"), CLEAN).when(F.col("_blocked") | (F.col("_fails") >= 1), BLOCKING).otherwise(RECORDED)
-    return run.select(*events.columns, state.alias("state_before"), after.alias("state_after"), refused.alias("refused"))
+    names = [c for c in events.columns]
+    marked = events.withColumn("_key", F.to_json(F.struct(*keys))).withColumn("_part", F.floor(F.col(order) / width))
+    marked = marked.withColumn("_good", F.coalesce(F.col(ok), F.lit(False))).withColumn("_force", F.coalesce(F.col(retry), F.lit(False)))
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, states, out = None, [], []
+        for pdf in batches:
+            for key, part, good, force in zip(pdf["_key"], pdf["_part"], pdf["_good"], pdf["_force"]):
+                if (key, part) != now:
+                    if now is not None:
+                        out.append((*now, *states))
+                    now, states = (key, part), list(STATES)
+                states = [next_state(s, good, force)[0] for s in states]
+            yield pd.DataFrame(out, columns=["_key", "_part", *STATES])
+            out = []
+        if now is not None:
+            yield pd.DataFrame([(*now, *states)], columns=["_key", "_part", *STATES])
+
+    spread = marked.select("_key", "_part", F.col(order).alias("_at"), "_good", "_force").repartition("_key", "_part").sortWithinPartitions("_key", "_part", "_at")
+    leads = spread.select("_key", "_part", "_good", "_force").mapInPandas(ends, f"_key string, _part long, {', '.join(f'{s} string' for s in STATES)}")
+    chain = leads.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_part", *STATES))).alias("parts"))
+    none = F.expr("cast(array() as array<struct<_part:bigint,start:string,end:string>>)")
+
+    def link(acc: Column, part: Column) -> Column:
+        start = F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(CLEAN))
+        end = F.when(start == RECORDED, part[RECORDED]).when(start == BLOCKING, part[BLOCKING]).otherwise(part[CLEAN])
+        return F.concat(acc, F.array(F.struct(part["_part"].alias("_part"), start.alias("start"), end.alias("end"))))
+
+    starts = chain.select("_key", F.explode(F.aggregate("parts", none, link)).alias("p")).select("_key", "p._part", F.col("p.start").alias("_start"))
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, CLEAN
+        for pdf in batches:
+            before, after, refused = [], [], []
+            for key, part, start, good, force in zip(pdf["_key"], pdf["_part"], pdf["_start"], pdf["_good"], pdf["_force"]):
+                if (key, part) != now:
+                    now, state = (key, part), start
+                before.append(state)
+                state, no = next_state(state, good, force)
+                after.append(state)
+                refused.append(no)
+            yield pdf[names].assign(state_before=before, state_after=after, refused=refused)
+
+    started = marked.join(starts, ["_key", "_part"]).repartition("_key", "_part").sortWithinPartitions("_key", "_part", order)
+    schema = T.StructType([*events.schema.fields, *[T.StructField(c, T.StringType()) for c in ("state_before", "state_after")], T.StructField("refused", T.BooleanType())])
+    return started.mapInPandas(fill, schema)
 
 
 def next_state(state: str, ok: bool | None, retry: bool | None) -> tuple[str, bool]:
-    """(state after, refused) of one attempt: what guard_batch computes for all of them, for streams."""
+    """(state after, refused) of one attempt."""
     if state == BLOCKING and not retry:
         return BLOCKING, True
     if ok:

@@ -69,7 +69,7 @@ def front_matter(spark: SparkSession, d: str) -> DataFrame:
 def failure_guard(spark: SparkSession, d: str) -> DataFrame:
     """The state of each scope's and command's guard before and after each event."""
     f = table(spark, d, "failures").select("failure_id", "scope", "command", "ok", "retry_known_failure")
-    return FL.guard_batch(f, ["scope", "command"], ["failure_id"], "ok", "retry_known_failure").select("failure_id", "state_before", "state_after", "refused")
+    return FL.guard_batch(f, ["scope", "command"], "failure_id", "ok", "retry_known_failure").select("failure_id", "state_before", "state_after", "refused")
 
 
 def failure_records(spark: SparkSession, d: str) -> DataFrame:

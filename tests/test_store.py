@@ -64,13 +64,14 @@ def test_guard_equals_the_state_machine(spark):
     rng = random.Random(4)
     rows = [(k, rng.choice(["s", None]), rng.choice(["a", "b"]), rng.choice([True, False, False, None]), rng.choice([True, False, False, None])) for k in range(300)]
     df = spark.createDataFrame(rows, "failure_id long, scope string, command string, ok boolean, retry_known_failure boolean")
-    got = {r["failure_id"]: (r["state_before"], r["state_after"], r["refused"]) for r in failures.guard_batch(df, ["scope", "command"], ["failure_id"], "ok", "retry_known_failure").collect()}
+    got = {r["failure_id"]: (r["state_before"], r["state_after"], r["refused"]) for r in failures.guard_batch(df, ["scope", "command"], "failure_id", "ok", "retry_known_failure", width=37).collect()}
     state, want = {}, {}
     for i, s, c, ok, retry in rows:
         before = state.get((s, c), failures.CLEAN)
         after, refused = failures.next_state(before, ok, retry)
         want[i], state[(s, c)] = (before, after, refused), after
     assert got == want
+    assert failures.guard_batch(df.where("false"), ["scope", "command"], "failure_id", "ok", "retry_known_failure").count() == 0
 
 
 def test_guard_stream(spark, tmp_path):
