@@ -6,8 +6,10 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import TOKENS
 
@@ -57,40 +59,52 @@ def truncated(rows: DataFrame, key: str, text: str, budget: int) -> DataFrame:
     return rows.where(size <= budget).unionByName(long)
 
 
-def pack_fold(chunks: Column, budget: int) -> Column:
-    """Fold of an ordered array<struct<key, tokens>> into struct<used, included, dropped, keys>.
+def pack_step(state: tuple[int, int, int], tokens: int, budget: int) -> tuple[int, int, int]:
+    """(used, included, dropped) after one more chunk.
 
     A chunk that doesn't fit is dropped; later, smaller ones may still fit. If more than 100
     tokens are left it is truncated into them and the budget is used up. It counts as dropped
     either way, and with the budget used up nothing more is looked at.
     """
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("included"), F.lit(0).cast("long").alias("dropped"))
-
-    def step(acc: Column, c: Column) -> Column:
-        used, tokens = acc["used"], c["tokens"].cast("long")
-        fits = used + tokens <= budget
-        cut = ~fits & (F.lit(budget) - used > 100)
-        over = (acc["dropped"] > 0) & (used >= budget)
-        new = F.struct(
-            F.when(fits, used + tokens).when(cut, F.lit(budget).cast("long")).otherwise(used).alias("used"),
-            (acc["included"] + F.when(fits | cut, 1).otherwise(0)).alias("included"),
-            (acc["dropped"] + F.when(fits, 0).otherwise(1)).alias("dropped"),
-        )
-        return F.when(over, acc).otherwise(new)
-
-    return F.aggregate(chunks, start, step)
-
-
-def pack_context(chunks: DataFrame, group: str, key: str, content: str, score: str, budget: int, per_group: int = 1000) -> DataFrame:
-    """(group, used, included, dropped) of the best chunks of every group under one budget.
-
-    Chunks go by score, nulls last, ties by key. A group's best `per_group` chunks are kept
-    while they are gathered: a chunk has at least one token, so with per_group >= budget no
-    chunk that could be looked at is lost. The rest count as neither.
+    used, included, dropped = state
+    if dropped and used >= budget:
+        return state
+    if used + tokens <= budget:
+        return used + tokens, included + 1, dropped
+    if budget - used > 100:
+        return budget, included + 1, dropped + 1
+    return used, included, dropped + 1
+
+
+def pack_context(chunks: DataFrame, group: str, key: str, content: str, score: str, budget: int) -> DataFrame:
+    """(group, used, included, dropped) of the chunks of every group under one budget.
+
+    Chunks go by score, nulls last, ties by key, and every chunk of a group is looked at. Only
+    keys, scores and token counts are shuffled and sorted; a group's chunks then stream through
+    one running state, so a group of any size takes no memory of its own.
     """
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc_nulls_last(score), key))
-    best = chunks.select(F.col(group), F.col(key), F.col(score), F.regexp_count(F.coalesce(F.col(content), F.lit("")), F.lit(TOKENS)).alias("tokens")).withColumn("rank", rank).where(F.col("rank") <= per_group)
-    gathered = best.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("rank", "tokens"))).alias("chunks"))
-    return gathered.select(group, pack_fold(F.col("chunks"), budget).alias("p")).select(group, "p.used", "p.included", "p.dropped")
+    counted = chunks.select(F.col(group), F.to_json(F.struct(F.col(group).alias("k"))).alias("_group"), F.col(key).alias("_key"), F.col(score).alias("_score"), F.regexp_count(F.coalesce(F.col(content), F.lit("")), F.lit(TOKENS)).alias("_tokens"))
+    ordered = counted.repartition("_group").sortWithinPartitions("_group", F.desc_nulls_last("_score"), "_key").select(group, "_group", "_tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, value, state, kind = None, None, (0, 0, 0), None
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [kind, *[pa.int64()] * 3])], [group, "used", "included", "dropped"])
+
+        for batch in batches:
+            values, out = batch.column(0), []
+            kind = values.type
+            for k, (g, tokens) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                if g != now:
+                    if now is not None:
+                        out.append((value, *state))
+                    now, value, state = g, values[k].as_py(), (0, 0, 0)
+                state = pack_step(state, tokens, budget)
+            yield packed(out)
+        if now is not None:
+            yield packed([(value, *state)])
+
+    schema = T.StructType([chunks.schema[group], *[T.StructField(c, T.LongType()) for c in ("used", "included", "dropped")]])
+    return ordered.mapInArrow(run, schema)

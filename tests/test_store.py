@@ -91,6 +91,14 @@ def test_packing(spark):
     assert tuple(budget.pack_context(df, "file", "chunk_id", "content", "score", 200).first())[1:] == (200, 2, 1)
 
 
+def test_packing_looks_at_every_chunk(spark):
+    sizes = [950] + [400] * 4999 + [50]
+    df = spark.createDataFrame(list(enumerate(sizes)), "k long, n int").selectExpr("if(k < 0, '', null) as file", "k", "repeat('. ', n) as content", "-double(k) as score")
+    df = df.union(df.where("k = 0").selectExpr("'b'", "k", "content", "score"))
+    got = {r["file"]: tuple(r)[1:] for r in budget.pack_context(df, "file", "k", "content", "score", 1000).collect()}
+    assert got == {None: (1000, 2, 4999), "b": (950, 1, 0)}
+
+
 def test_hunks(spark):
     d = spark.createDataFrame([(1, "@@ -2,0 +3,2 @@\n@@ -1,3 +0,0 @@\n@@ -6,2 +5,1 @@\n@@ -5 +4,0 @@\n@@ bad @@"), (2, None), (3, "")], "k long, d string")
     assert [(r["start"], r["end"]) for r in diff.hunk_ranges(d, "k", "d").orderBy("hunk").collect()] == [(3, 4), (1, 0), (5, 5), (5, 4)]
