@@ -24,7 +24,6 @@ WINDOW = 2048
 SHARD = 2048
 BINS = 1 << 16
 K1, B = 1.2, 0.75
-COMMON = 0.1  # terms of a larger share of all documents tell nothing about likeness and are not indexed
 
 #: Tokens: a run of letters, one to three digits, any other single character but white space.
 TOKEN = re.compile(r"[^\W\d_]+|\d{1,3}|[^\w\s]|_|[^\W]")
@@ -59,9 +58,8 @@ class Terms:
         for w in words:
             c = number.get(w)
             if c is None:
-                c = number[w] = crc32(w) % BINS if len(w) > 1 else -1
-            if c >= 0:
-                out.append(c)
+                c = number[w] = crc32(w) % BINS
+            out.append(c)
         return out
 
 
@@ -98,7 +96,6 @@ class Shard:
         n = len(sizes)
         lengths = np.bincount(doc, minlength=n).astype(np.float64)
         code = np.unique(doc * np.int64(BINS) + term)
-        code = code[idf[code % BINS] > 0]  # terms of too many documents aren't indexed
         doc, term = code // BINS, code % BINS
         self.of = np.split(term, np.searchsorted(doc, np.arange(1, n)))
         order = np.argsort(term, kind="stable")
@@ -180,7 +177,7 @@ def pack_windows(documents: DataFrame, key: str, text: str, window: int = WINDOW
     document frequencies, which has a fixed size.
     """
     df, total = document_frequencies(documents, text)
-    idf = np.where(df <= COMMON * total, np.log(1 + (total - df + 0.5) / (df + 0.5)), 0.0)
+    idf = np.log(1 + (total - df + 0.5) / (df + 0.5))  # positive for every term
     shared = documents.sparkSession.sparkContext.broadcast(idf)
 
     def pack(ids: list, texts: list[str], label: str, known: Terms) -> pd.DataFrame:

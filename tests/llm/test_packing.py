@@ -45,3 +45,23 @@ def test_neighbours_share_windows(spark):
     for r in rows:
         by.setdefault(r["window_id"], set()).add(r["doc_id"] % 20)
     assert len(by) == 20 and all(len(v) == 1 for v in by.values())
+
+
+def test_shared_terms_retrieve_each_other(spark):
+    """A group of copies that is a third of all documents: its members belong together, though their terms are common."""
+    words = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "klmnp"]
+    docs = [(k, " ".join(words[:60] if k % 3 == 0 else [f"w{words[(k * 7 + j * j) % 125]}{words[(k + j) % 125]}" for j in range(60)])) for k in range(90)]
+    rows = pack_windows(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), "doc_id", "text", window=300).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["window_id"], []).append(r["doc_id"] % 3 == 0)
+    assert sum(all(w) for w in by.values()) == 6 and not any(any(w) and not all(w) for w in by.values())
+
+
+def test_letters_are_terms(spark):
+    docs = [(k, " ".join("ab"[k % 2] for _ in range(50))) for k in range(20)]
+    rows = pack_windows(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), "doc_id", "text", window=250).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["window_id"], set()).add(r["doc_id"] % 2)
+    assert len(by) == 4 and all(len(v) == 1 for v in by.values())
