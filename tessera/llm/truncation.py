@@ -6,18 +6,24 @@ their surroundings; maximum likelihood gives the distribution, and with it the p
 a text of just that length was censored. How a text ends is the other evidence: an open code
 block, a sentence without its end, a word that is only the beginning of words that usually end
 lines like this one. Both are added as log odds.
+
+The last line of a list, a pair, a link or a closing may look whole by chance. At a limit the
+posterior decides there, with likelihoods that are fitted for each source and last word: how
+often its whole texts end so, and how often the same texts look so where they are cut at a
+random place, inside such a line or at its end.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BINS = 1 << 16
@@ -26,6 +32,7 @@ SPIKE = 6.0  # times the mean of its surroundings
 LEAST = 8  # texts at a limit
 
 _NONE = "\x00none"
+_BLANK = " \t\r\n\xa0"
 _MARK = re.compile(r"\s*(?:…|\.\.\.|�+|[\[(<](?:truncated|cut off|cut|snip|continued|more|\.\.\.|…)[^\])>]{0,20}[\])>])+\s*$", re.I)
 _LOST = re.compile("�+\\s*$")
 _END = re.compile(r"[.!?。！？‽][\"'”’»)\]*_`]*$")
@@ -39,6 +46,10 @@ _TAIL = re.compile(r"[^\W\d_]+$")
 _HUMP = re.compile(r"[A-ZÀ-Ý]?[^\W\d_A-ZÀ-Ý]+$|[A-ZÀ-Ý]+$")
 
 
+#: Endings that look whole and may still be cut; at a limit they are weighed by fitted likelihoods.
+UNSURE = ("list", "closing", "pair", "url")
+
+
 def line_kind(line: str) -> tuple[str, str]:
     """Kind of a line that may end without punctuation, and what it holds."""
     if m := _LIST.match(line):
@@ -191,18 +202,34 @@ def _fit(x: np.ndarray, seen: np.ndarray, censored: np.ndarray) -> tuple[float,
     return mu, sigma
 
 
+def end_bin(line: str) -> int:
+    """Bin of the word, or else the token, that a line ends on."""
+    return _bin("f", last_word(line.rstrip()) or line.rstrip().rpartition(" ")[2])
+
+
+def fitted_odds(posterior: Column, whole: Column, inside: Column, between: Column) -> Column:
+    """Log odds that a text at a limit was cut inside its last line, from the counts of its ending.
+
+    whole: texts that end so; inside and between: cuts of as many texts at a random place that
+    look so inside a line and at a line's end. A cut at a line's end loses no part of that line.
+    """
+    return F.log(posterior * (inside + 0.5) / (posterior * (between + 0.5) + (1 - posterior) * (whole + 0.5)))
+
+
 def truncated_texts(documents: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """(doc_id, source, n, ending, posterior, score, truncated) of every non-null text.
 
     n is the length in code points, ending how the text ends, posterior the probability that a
     text of this length of its source was censored (0 at lengths that are no limit), score the
     log odds that the text was cut off, truncated whether they are positive. A text that ends on
-    a whole sentence, list entry, block, status, path, link or closing line is not cut, whatever
-    its length. Null texts give no row, empty ones are not cut; a null source is a source of its
+    a whole sentence or block is not cut, whatever its length; one that seems to end on a whole
+    list entry, status, path, link or closing line is cut if it stands at a limit and it is more
+    likely to have been cut inside that line. Null texts give no row, empty ones are not cut; a null source is a source of its
     own; repeated rows count each.
 
-    Two passes: one over all lines for the counts of line ends, of fixed size, and one that adds
-    up lengths by source; the evidence itself needs the last line and the number of fences,
+    Three passes: one over all lines for the counts of line ends, of fixed size, one that adds
+    up lengths by source, and one that counts the uncertain endings of whole and of cut
+    texts, of which those of sources with limits are kept, by hashed word; the evidence itself needs the last line and the number of fences,
     which the JVM takes from the whole text. A source's lengths are pre-aggregated, so a source
     with a third of all rows is as many rows as it has distinct lengths.
     """
@@ -221,23 +248,51 @@ def truncated_texts(documents: DataFrame, key: str, text: str, source: str) -> D
         counts[what, b] = n
     shared = spark.sparkContext.broadcast(counts)
 
-    trimmed = F.rtrim(F.col("text"), F.lit(" \t\r\n "))
-    fences = (F.length("text") - F.length(F.replace(F.col("text"), F.lit("```"), F.lit("``")))) % 2 == 1
-    measured = rows.select("doc_id", "source", F.length("text").cast("long").alias("n"), F.substring_index(F.substring_index(trimmed, "\n", -1), "\r", -1).alias("line"), fences.alias("open"))
-    limits = measured.groupBy("source", "n").agg(F.count(F.lit(1)).alias("count")).groupBy("source").applyInPandas(censoring, "source string, n long, posterior double")
+    def last_line(c: Column) -> Column:
+        return F.substring_index(F.substring_index(F.rtrim(c, F.lit(_BLANK)), "\n", -1), "\r", -1)
+
+    def open_fence(c: Column) -> Column:
+        return (F.length(c) - F.length(F.replace(c, F.lit("```"), F.lit("``")))) % 2 == 1
+
+    t = F.col("text")
+    sized = rows.select("doc_id", "source", "text", F.length("text").cast("long").alias("n"))
+    measured = sized.select("doc_id", "source", "n", last_line(t).alias("line"), open_fence(t).alias("open"))
+    limits = sized.groupBy("source", "n").agg(F.count(F.lit(1)).alias("count")).groupBy("source").applyInPandas(censoring, "source string, n long, posterior double")
+
+    part = F.left(t, (F.pmod(F.xxhash64("text"), F.col("n") - 1) + 1).cast("int"))
+    after = F.substr(t, F.length(F.rtrim(F.col("part"), F.lit(_BLANK))) + 1)
+    cut = sized.where("n > 1").withColumn("part", part).select("source", "n", last_line(t).alias("line"), open_fence(t).alias("open"), last_line(F.col("part")).alias("cut_line"), open_fence(F.col("part")).alias("cut_open"), F.rlike(after, F.lit(r"^[ \t\xa0]*[^ \t\r\n\xa0]")).alias("inside"))
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ends = LineEnds(shared.value)
+        for pdf in batches:
+            seen: Counter = Counter()
+            for source, n, line, o, cut_line, cut_o, inside in zip(*(pdf[c] for c in ("source", "n", "line", "open", "cut_line", "cut_open", "inside"))):
+                for end, is_open, what in ((line, o, "whole"), (cut_line, cut_o, "inside" if inside else "between")):
+                    kind, evidence = ending(end, bool(is_open), ends)
+                    if kind in UNSURE and evidence < 0:
+                        seen[source, n, kind, end_bin(end), what] += 1
+            yield pd.DataFrame([(*k, c) for k, c in seen.items()], columns=["source", "n", "ending", "word", "what", "count"])
+
+    counted = cut.mapInPandas(tally, "source string, n long, ending string, word int, what string, count long")
+    off = counted.join(limits.select("source", F.col("n").alias("at")).groupBy("source").agg(F.collect_list("at").alias("limits")), "source").where(~F.array_contains("limits", F.col("n")))
+    rates = off.groupBy("source", "ending", "word").agg(*[F.sum(F.when(F.col("what") == w, F.col("count")).otherwise(0)).alias(w) for w in ("whole", "inside", "between")])
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ends = LineEnds(shared.value)
         for pdf in batches:
             found = [ending(line, bool(o), ends) for line, o in zip(pdf["line"], pdf["open"])]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "n": pdf["n"], "ending": [k for k, _ in found], "evidence": [float(e) for _, e in found]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "n": pdf["n"], "ending": [k for k, _ in found], "evidence": [float(e) for _, e in found], "word": [end_bin(line) if k in UNSURE else 0 for line, (k, _) in zip(pdf["line"], found)]})
 
     kind = measured.schema["doc_id"].dataType.simpleString()
-    judged = measured.mapInPandas(judge, f"doc_id {kind}, source string, n long, ending string, evidence double")
+    judged = measured.mapInPandas(judge, f"doc_id {kind}, source string, n long, ending string, evidence double, word int")
     odds = F.when(F.col("posterior") > 0, F.least(F.lit(3.0), F.log(F.col("posterior") / (1 - F.col("posterior"))))).otherwise(0.0)
-    return judged.join(limits, ["source", "n"], "left").select(
+    fitted = fitted_odds(F.col("posterior"), *[F.coalesce(w, F.lit(0)) for w in ("whole", "inside", "between")])
+    unsure = (F.col("posterior") > 0) & F.col("ending").isin(*UNSURE) & (F.col("evidence") < 0)
+    score = F.when(unsure, fitted).otherwise(F.col("evidence") + odds)
+    return judged.join(limits, ["source", "n"], "left").join(rates, ["source", "ending", "word"], "left").select(
         "doc_id", F.when(F.col("source") != _NONE, F.col("source")).alias("source"), "n", "ending", F.coalesce("posterior", F.lit(0.0)).alias("posterior"),
-        (F.col("evidence") + odds).alias("score"), (F.col("evidence") + odds > 0).alias("truncated"),
+        score.alias("score"), (score > 0).alias("truncated"),
     )
 
 

@@ -46,6 +46,18 @@ def test_finds_the_cut_ones(spark):
     assert rate["n_texts"] == 1500 and rate["n_truncated"] >= sum(r[3] for r in rows) and 0 < rate["expected_censored"] <= rate["n_at_limits"]
 
 
+def test_limit_decides_where_a_line_looks_whole(spark):
+    rng = random.Random(3)
+    nouns = ["cache", "graph", "token", "index", "merger", "window"]
+    line = lambda: f"- the {rng.choice(nouns)} the {rng.choice(nouns)} the {rng.choice(nouns)} the {rng.choice(nouns)} the {rng.choice(nouns)}"
+    texts = ["\n".join(line() for _ in range(rng.randrange(3, 12))) for _ in range(8000)]
+    inside = {k for k, t in enumerate(texts) if t[400:401] == " " and t[:400].endswith(tuple(nouns))}
+    df = spark.createDataFrame([(k, t[:400], "log") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in X.truncated_texts(df, "doc_id", "text", "source").collect()}
+    assert len(inside) >= 20 and all(got[k]["ending"] == "list" and got[k]["posterior"] > 0.9 and got[k]["truncated"] for k in inside)
+    assert not [r for r in got.values() if r["truncated"] and r["n"] < 400 and r["posterior"] == 0]
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "a"), (2, "", None), (3, "whole.", None), (4, "cut in the mid", None), (4, "cut in the mid", None), (5, "x" * 300_000, "a"), (6, "lost ch�", "a")]
     df = spark.createDataFrame(rows, "k long, t string, s string").selectExpr("*", "1 as n", "'e' as ending")
