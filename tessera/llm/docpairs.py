@@ -343,15 +343,14 @@ def own_words(text: str, name: str) -> list[str]:
 
 
 _TOKEN = re.compile(r"[\w$]+(?:['’]\w+)?")
-#: A documentation of a function in Python, or of one with braces that isn't the first thing in the text.
-_MAY_PY = re.compile(r":[^\S\n]*\n?\s*[rRuUbBfF]{0,2}[\"']|^[^\S\n]*#", re.M)
+#: A documentation of a function with braces that isn't the first thing in the text.
 _NESTING = re.compile(r"\b(?:class|interface|trait|impl|enum|mod|namespace|module|object|record|extension)\b|[=]\s*\{|\bdefault\s*\{|\breturn\s*\{|\}\s*\n\s*(?://|/\*)|(?://[^\n]*|\*/)\s*(?:@|#\[|\bexport|\bpub\b|\bfunc|\bfn\b|\basync\b|\bpublic|\bprivate|\bprotected|\bstatic)")
 
 
 def _may_document(text: str, language: str) -> bool:
-    """Whether a comment can stand above a declaration: it opens the text, stands as far left as the text, or there is something to nest in."""
+    """Whether a function can be documented. In Python there are a function and a quote or a comment; else a comment opens the text, stands as far left as the text, or there is something to nest in."""
     if language == "py":
-        return bool(_MAY_PY.search(text))
+        return ("def" in text or "lambda" in text) and any([c in text for c in "\"'#"])
     bare = text.lstrip()
     if bare[:2] in ("//", "/*") or bare[:1] in "@#":
         return True
@@ -392,7 +391,7 @@ def function_pairs(symbols: DataFrame, key: str, content: str, path: str | None
     words of its own name. start and end are the source range in the content with \\n as line
     end. Nested functions count by their docstring only. Code that can't be parsed whole gives
     what can be read; null and empty contents and those without comment or docstring give no
-    row. Repeated rows each count. No shuffle.
+    row; what goes to the parser is everything with a comment's mark, or with def and a quote. Repeated rows each count. No shuffle.
     """
     with_path = path is not None
 
@@ -405,6 +404,6 @@ def function_pairs(symbols: DataFrame, key: str, content: str, path: str | None
 
     c = F.col("content")
     rows = symbols.select(F.col(key).alias("row_id"), (F.col(path) if with_path else F.lit(None).cast("string")).alias("path"), F.col(content).alias("content"))
-    rows = rows.where(c.contains("//") | c.contains("/*") | c.contains("#") | c.contains('"""') | c.contains("'''") | c.contains(': "') | c.contains(": '"))
+    rows = rows.where(c.contains("//") | c.contains("/*") | c.contains("#") | c.contains("def") & (c.contains('"') | c.contains("'")))
     kind = rows.schema["row_id"].dataType.simpleString()
     return rows.mapInPandas(run, f"row_id {kind}, func_name string, start int, end int, code string, description string")

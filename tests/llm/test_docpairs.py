@@ -45,3 +45,22 @@ def test_rows(spark):
     df = spark.createDataFrame(rows, "id long, file_path string, content string").selectExpr("*", "'n' as name", "1 as row_id", "'p' as path")
     assert sorted((r["row_id"], r["func_name"]) for r in function_pairs(df, "id", "content", "file_path").collect()) == [(1, "readCache"), (1, "readCache"), (4, "readCache")]
     assert function_pairs(df.where("false"), "id", "content").count() == 0
+
+
+DOCUMENTED = [
+    'def f(path): # noqa: C901\n    """Reads the cache before the graph."""\n',
+    "def f(path):\n    'Reads the cache before the graph.'\n",
+    'def f(path):\n    "Reads the cache before the graph."\n    return path\n',
+    "def f(path):\n\n\n    ('Reads the cache '\n     'before the graph.')\n",
+    "def\tf(path): \\\n    'Reads the cache before the graph.'\n",
+]
+
+
+@pytest.mark.parametrize("text", DOCUMENTED)
+def test_every_docstring_passes_the_gate(text):
+    assert [p[0] for p in documented(text, "py")] == ["f"]
+
+
+def test_every_docstring_reaches_the_parser(spark):
+    df = spark.createDataFrame([(k, "a.py", t) for k, t in enumerate(DOCUMENTED)], "id long, file_path string, content string")
+    assert sorted(r["row_id"] for r in function_pairs(df, "id", "content", "file_path").collect()) == list(range(len(DOCUMENTED)))
