@@ -121,7 +121,8 @@ _CUE = (
 ID_CUED = re.compile(rf"(?<!\w){_CUE}\s*[:#=]?\s*(?P<v>(?=(?:[\s-]?[A-Za-z0-9]){{6}})[A-Z]{{0,5}}[\s-]?\d(?:[\s-]?\d){{3,13}}(?:\s?[A-Z])?)(?![\w])", re.I)
 ID_BARE = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])|(?<!\w)[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-Da-d](?!\w)")
 #: Parts of every cue, for a plain search before the expressions.
-_CUES = ("ssn", "social", "insurance", "ni n", "ni\n", "nino", "national", "passport", "reisepass", "ausweis", "licen", "hrerschein", "id card", "identit", "dni", "nie", "tax id")
+_CUES = ("ssn", "social", "insurance", "nino", "national", "passport", "reisepass", "ausweis", "licen", "hrerschein", "card", "identit", "dni", "nie", "tax")
+_NI = re.compile(r"(?<!\w)ni\s+n", re.I)
 
 _EN = r"(?:street|road|rd\.?|lane|avenue|ave\.?|boulevard|blvd\.?)"
 _EN_TITLE = r"(?:Street|St\.?|Drive|Dr\.?|Court|Ct\.?|Way|Place|Square|Terrace|Close|Crescent|Row|Park|Grove|Mews)"
@@ -135,7 +136,8 @@ ADDRESS = re.compile(
     re.I,
 )
 _STREETS = ("street", "road", "rd", "lane", "ave", "boul", "blvd", "bd", "rue", "place", "chemin", "impasse", "all", "quai", "drive", "court", "way", "square", "terrace", "close", "crescent", "row", "park", "grove", "mews", "st", "dr", "ct", "calle", "c/", "aven", "avda", "plaza", "paseo", "camino", "gasse", "weg", "platz", "damm", "ufer")
-_NUMBERED = re.compile(r"\d[a-z]?\s+(?:(?:bis|ter)\s+)?[^\W\d_]|[^\W\d_.][.,]?\s+\d", re.I)
+#: A number before a street, as the first three forms of ADDRESS have it, or behind one.
+_NUMBERED = re.compile(r"\d[a-z]?(?:\s?(?:bis|ter|quater))?,?\s+[^\W\d_]|[\w.-],?\s+(?:n[º°.]\s*)?\d", re.I)
 _DIGIT = re.compile(r"\d")
 _LONG_NUMBER = re.compile(r"\d[\d().\s/-]{7}")
 
@@ -217,7 +219,8 @@ def find_names(text: str, author: bool = False) -> list[tuple[int, int, str]]:
         if len(word) == 1 and word.isalpha() and text[b : b + 1] == "." and k + 1 < n:
             nxt, na, nb = words[k + 1]
             gap = text[b + 1 : na]
-            if (gap == "" or _GAP.fullmatch(gap)) and (_family(nxt, strong=True) or (author and _cased(nxt) and len(nxt) > 2 and nxt.lower() not in ROLES)):
+            whole = _cased(word) and _cased(nxt) and text[a - 1 : a] != "." and _family(nxt)
+            if (gap == "" or _GAP.fullmatch(gap)) and (whole or _family(nxt, strong=True) or (author and _cased(nxt) and len(nxt) > 2 and nxt.lower() not in ROLES)):
                 add(a, nb, word, nxt)
     if author and not out:
         plain = re.sub(r"\([^)]*\)|<[^>]*>|\b(?:Dr|Prof|Mr|Mrs|Ms)\.?\s", " ", text).strip()
@@ -261,7 +264,7 @@ def find_mentions(text: str, author: bool = False) -> list[tuple[int, int, str,
             take(a, m.end(), "email", _normal_email(m))
     if _DIGIT.search(text):
         low = text.lower()
-        if any([c in low for c in _CUES]):
+        if any([c in low for c in _CUES]) or _NI.search(low):
             for m in ID_CUED.finditer(rest):
                 take(*m.span("v"), "id_number", re.sub(r"[\s-]", "", m["v"]).upper())
         for m in ID_BARE.finditer(rest):
@@ -281,7 +284,7 @@ def find_mentions(text: str, author: bool = False) -> list[tuple[int, int, str,
 
 def _may_name(text: str) -> bool:
     words = set(_SPLIT.split(text.lower()))
-    return not GIVEN.isdisjoint(words) or any([w.endswith(_STRONG) for w in words])
+    return not GIVEN.isdisjoint(words) or any([w.endswith(ENDINGS) for w in words])
 
 
 _SPLIT = re.compile(r"[\W\d_]+")
