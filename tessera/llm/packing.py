@@ -40,7 +40,7 @@ def counted(text: str) -> tuple[int, list[bytes]]:
         other = len(raw.translate(None, _LETTERS + _DIGITS + _SPACE))
         return len(words) + sum([(len(d) + 2) // 3 for d in raw.translate(_TO_DIGITS).split()]) + other, words
     tokens = TOKEN.findall(text)
-    return len(tokens), [w.encode() for w in {t.lower() for t in tokens} if w[0].isalpha()]
+    return len(tokens), [w.encode() for w in map(str.lower, tokens) if w[0].isalpha()]
 
 
 def token_spans(text: str) -> list[tuple[int, int]]:
@@ -48,7 +48,7 @@ def token_spans(text: str) -> list[tuple[int, int]]:
 
 
 class Terms:
-    """Distinct term bins of texts; remembers the bins of terms it has seen."""
+    """Term bins of texts, one for each word; remembers the bins of terms it has seen."""
 
     def __init__(self) -> None:
         self.number: dict[bytes, int] = {}
@@ -91,11 +91,11 @@ class Shard:
     """BM25 inverted index over a bounded group of items, and the windows packed from it."""
 
     def __init__(self, sizes: list[int], doc: np.ndarray, term: np.ndarray, idf: np.ndarray, window: int):
-        """doc and term: the item and the term bin of every posting."""
+        """doc and term: the item and the term bin of every word. A length is a number of words."""
         self.sizes, self.window = np.array(sizes, np.int64), window
         n = len(sizes)
         lengths = np.bincount(doc, minlength=n).astype(np.float64)
-        code = np.unique(doc * np.int64(BINS) + term)
+        code, count = np.unique(doc * np.int64(BINS) + term, return_counts=True)
         doc, term = code // BINS, code % BINS
         self.of = np.split(term, np.searchsorted(doc, np.arange(1, n)))
         order = np.argsort(term, kind="stable")
@@ -103,7 +103,8 @@ class Shard:
         self.terms, self.first = np.unique(term, return_index=True)
         self.last = np.append(self.first[1:], len(term)).astype(np.int64)
         norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if n else 1.0))
-        self.weight = idf[term] * (K1 + 1) / (1 + norm[self.posting])
+        tf = count[order]
+        self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.posting])
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every item for the seed's distinct terms."""
@@ -199,7 +200,7 @@ def pack_windows(documents: DataFrame, key: str, text: str, window: int = WINDOW
                     continue
                 sizes.append(size)
                 item_row.append(len(rows) - 1)
-                own = known.bins(set(words if pieces == 1 else counted(t[a:b])[1]))
+                own = known.bins(words if pieces == 1 else counted(t[a:b])[1])
                 bins += own
                 counts.append(len(own))
         windows = [[r] for r in whole]

@@ -1,9 +1,10 @@
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm.packing import counted, pack_windows, token_spans
+from tessera.llm.packing import B, BINS, K1, Shard, counted, pack_windows, token_spans
 
 
 @settings(deadline=None, max_examples=200)
@@ -65,3 +66,15 @@ def test_letters_are_terms(spark):
     for r in rows:
         by.setdefault(r["window_id"], set()).add(r["doc_id"] % 2)
     assert len(by) == 4 and all(len(v) == 1 for v in by.values())
+
+
+def test_scores_are_bm25_with_term_frequencies():
+    docs = [[1, 2], [1, 1, 1, 3], [2, 3, 3, 3]]
+    idf = np.zeros(BINS)
+    idf[1:4] = 0.5, 0.7, 0.9
+    doc = np.array([k for k, d in enumerate(docs) for _ in d])
+    got = Shard([len(d) for d in docs], doc, np.array(sum(docs, [])), idf, 10).scores(0)
+    mean = sum(map(len, docs)) / 3
+    want = [sum(idf[t] * d.count(t) * (K1 + 1) / (d.count(t) + K1 * (1 - B + B * len(d) / mean)) for t in (1, 2)) for d in docs]
+    assert np.allclose(got, want)
+    assert counted("é é a")[1].count("é".encode()) == 2
