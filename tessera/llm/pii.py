@@ -84,6 +84,27 @@ def permute_date(day: datetime.date, key: bytes) -> datetime.date:
     return datetime.date.fromordinal(_FIRST + feistel(at, 400, 128, key, b"date")) if 0 <= at < _DAYS else day
 
 
+def read_date(text: str) -> tuple[datetime.date, tuple[int, int, int]] | None:
+    """A date in numbers, and which of its parts are year, month and day; the day goes first unless that can't be."""
+    a, b, c = map(int, re.split(r"[-./]", text))
+    order = (0, 1, 2) if "-" in text else (2, 0, 1) if b > 12 else (2, 1, 0)
+    try:
+        return datetime.date(*[(a, b, c)[k] for k in order]), order
+    except ValueError:
+        return None
+
+
+def permute_date_text(text: str, key: bytes) -> str:
+    """A date of birth as another one in the same notation; one that permute_date keeps as a tag."""
+    day, order = read_date(text)
+    new = permute_date(day, key)
+    if new == day:
+        return tag(day.isoformat(), key)
+    parts = dict(zip(order, (new.year, new.month, new.day)))
+    places = iter(range(3))
+    return re.sub(r"\d+", lambda m: str(parts[next(places)]).zfill(len(m[0])), text)
+
+
 def tag(text: str, key: bytes) -> str:
     return hashlib.blake2b(text.encode(), key=key, digest_size=4).hexdigest()
 
@@ -124,6 +145,11 @@ ID_BARE = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])|(?<!\w)[A-Z]{2}\s?\d
 _CUES = ("ssn", "social", "insurance", "nino", "national", "passport", "reisepass", "ausweis", "licen", "hrerschein", "card", "identit", "dni", "nie", "tax")
 _NI = re.compile(r"(?<!\w)ni\s+n", re.I)
 
+_BORN = r"(?:born(?:\s+on)?|(?:date\s+of\s+birth|birth\s?date|birthday|dob|d\.o\.b\.?)(?:\s+is)?|geboren(?:\s+am)?|geb\.|geburtsdatum|née?\s+le|date\s+de\s+naissance|nacid[oa]\s+el|fecha\s+de\s+nacimiento)"
+#: A date of birth in numbers; other dates belong to no person and stay.
+BIRTH = re.compile(rf"(?<!\w){_BORN}\s*[:=]?\s*(?P<v>\d{{4}}-\d{{1,2}}-\d{{1,2}}|\d{{1,2}}(?P<s>[./])\d{{1,2}}(?P=s)\d{{4}})(?!\w)", re.I)
+_BIRTHS = ("born", "birth", "dob", "d.o.b", "geb", "né", "naissance", "naci")
+
 _EN = r"(?:street|road|rd\.?|lane|avenue|ave\.?|boulevard|blvd\.?)"
 _EN_TITLE = r"(?:Street|St\.?|Drive|Dr\.?|Court|Ct\.?|Way|Place|Square|Terrace|Close|Crescent|Row|Park|Grove|Mews)"
 ADDRESS = re.compile(
@@ -264,6 +290,10 @@ def find_mentions(text: str, author: bool = False) -> list[tuple[int, int, str,
             take(a, m.end(), "email", _normal_email(m))
     if _DIGIT.search(text):
         low = text.lower()
+        if any([c in low for c in _BIRTHS]):
+            for m in BIRTH.finditer(rest):
+                if found := read_date(m["v"]):
+                    take(*m.span("v"), "date", found[0].isoformat())
         if any([c in low for c in _CUES]) or _NI.search(low):
             for m in ID_CUED.finditer(rest):
                 take(*m.span("v"), "id_number", re.sub(r"[\s-]", "", m["v"]).upper())
@@ -297,6 +327,8 @@ def placeholder(kind: str, mention: str, key_text: str, key: bytes) -> str:
         return f"[PHONE {permute_format(mention, key, kind, keep)}]"
     if kind == "id_number":
         return f"[ID_NUMBER {permute_format(mention, key, kind)}]"
+    if kind == "date":
+        return f"[DATE {permute_date_text(mention, key)}]"
     return f"[{kind.upper()} {tag(key_text, key)}]"
 
 
@@ -313,7 +345,7 @@ def pseudonymise(text: str, key: bytes = KEY, author: bool = False) -> tuple[str
 def pseudonymised(rows: DataFrame, key: str, text: str, author: bool = False, secret: bytes = KEY) -> DataFrame:
     """(row_id, redacted, kinds) of every non-null text; kinds has each kind of mention once.
 
-    kinds are email, phone, id_number, address and name. Everything around a mention stays as it
+    kinds are email, phone, id_number, address, name and date (of birth). Everything around a mention stays as it
     is. Null texts give no row, empty texts and texts without mentions come out unchanged with no
     kinds; repeated rows each count. author says that the column holds one person, not prose.
     The pseudonyms depend on the text and the secret key alone, so they are the same on every

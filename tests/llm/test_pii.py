@@ -82,6 +82,18 @@ def test_gates_let_mentions_through(text, kinds):
     assert sorted(set(P.pseudonymise(text, KEY)[1])) == kinds
 
 
+def test_dates_of_birth():
+    texts = ["Born 1984-02-29 in Ulm", "DOB: 02/29/1984 it says", "geboren am 29.02.1984, sagt sie"]
+    new = []
+    for text in texts:
+        redacted, kinds = P.pseudonymise(text, KEY)
+        assert kinds == ["date"] and "1984" not in redacted
+        new.append(P.read_date(redacted.partition("[DATE ")[2].partition("]")[0])[0])
+    assert new[0] == new[2] == P.permute_date(datetime.date(1984, 2, 29), KEY)
+    assert "1850" not in P.pseudonymise("born 1850-01-01", KEY)[0]
+    assert P.pseudonymise("Built 2024-01-02, born 2024-13-41", KEY) == ("Built 2024-01-02, born 2024-13-41", [])
+
+
 def test_what_a_matcher_takes_passes_its_gate():
     for ending in P.ENDINGS:
         for text in (f"Xabc{ending}, J.", f"Xabc{ending}-Yabc{ending}, J."):
