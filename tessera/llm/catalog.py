@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from secrets import token_bytes
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from tessera.llm.docpairs import function_pairs
 from tessera.llm.formatdup import collapse_formatting
 from tessera.llm.leak import leaked_items
 from tessera.llm.packing import pack_windows
-from tessera.llm.pii import pseudonymised
+from tessera.llm.pii import learn_names, pseudonymised
 from tessera.llm.secrets import secrets_in
 from tessera.llm.split import split_oversized
 from tessera.llm.truncation import truncated_texts, truncation_rates
@@ -20,20 +21,25 @@ from tessera.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+P1_PARTS = (("memories.body", "memories", "rev_id", "body", False), ("failures.symptom", "failures", "failure_id", "symptom", False), ("commits.author", "commits", "commit_id", "author", True))
+
+
 def p1_pseudonymised(spark: SparkSession, d: str) -> DataFrame:
-    """Every text of the three columns with typed placeholders, and the kinds found in it."""
-    parts = (
-        ("memories.body", pseudonymised(table(spark, d, "memories"), "rev_id", "body")),
-        ("failures.symptom", pseudonymised(table(spark, d, "failures"), "failure_id", "symptom")),
-        ("commits.author", pseudonymised(table(spark, d, "commits"), "commit_id", "author", author=True)),
-    )
-    found = [rows.select(F.lit(src).alias("src"), "*") for src, rows in parts]
+    """Every text of the three columns with typed placeholders, and the kinds found in it.
+
+    The key is the session's setting tessera.pseudonym.key; without it each call makes one of its
+    own, so its pseudonyms are linked within one result and can't be undone by anyone.
+    """
+    named = spark.conf.get("tessera.pseudonym.key", "")
+    secret = named.encode() if named else token_bytes(32)
+    names = learn_names([(table(spark, d, t), text, author) for _, t, _, text, author in P1_PARTS])
+    found = [pseudonymised(table(spark, d, t), key, text, secret, author, names).select(F.lit(src).alias("src"), "*") for src, t, key, text, author in P1_PARTS]
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """kinds holds a kind once and ids are unique, so the rows are distinct without a shuffle. Dates are no kind of its cases."""
-    return p1_pseudonymised(spark, d).select("src", "row_id", F.explode("kinds").alias("kind")).where("kind <> 'date'")
+    """kinds holds a kind once and ids are unique, so the rows are distinct without a shuffle. Dates and accounts are no kinds of its cases."""
+    return p1_pseudonymised(spark, d).select("src", "row_id", F.explode("kinds").alias("kind")).where("kind not in ('date', 'account')")
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
