@@ -30,7 +30,11 @@ class Crf:
 
     def viterbi(self, features: list[list[str]]) -> list[int]:
         """Most probable labels of a sequence."""
-        emit, moves = self.emit(features), self.moves
+        return self.best(self.emit(features))
+
+    def best(self, emit: list[list[float]]) -> list[int]:
+        """Most probable labels for given emissions."""
+        moves = self.moves
         if not emit:
             return []
         score, back = emit[0], []
