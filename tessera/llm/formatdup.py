@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.plans.cut import Cutter
 
 DASHES = r"\-‐-―−"
+HOT = 4096  # a field of more than one in so many rows is frequent
 BUCKETS = 1024  # ranges of dictionary integers that are numbered independently
 
 
@@ -34,7 +35,7 @@ def with_fields(commands: DataFrame) -> DataFrame:
     line = F.regexp_replace(line, " +", " ")
     split = commands.select("rec", "n", line.alias("line")).withColumn("head", F.regexp_extract("line", SETTINGS, 1))
     split = split.withColumn("rest", F.concat(F.lit(" "), F.expr("substring(line, length(head) + 1)")))
-    words = F.split(F.trim(F.regexp_replace(F.regexp_replace("rest", OPTION, ""), " +", " ")), " ")
+    words = F.split(F.trim(F.regexp_replace(F.regexp_replace("rest", OPTION, ""), r"[^\p{L}\p{N}]+", " ")), " ")
     split = split.select("rec", "n", F.split(F.trim("head"), " ").alias("head"), F.regexp_extract_all("rest", F.lit(OPTION), F.lit(0)).alias("options"), words.alias("words"))
     field = lambda kind: lambda raw: F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("pos"), raw.alias("raw"))
     present = lambda c: F.filter(c, lambda x: x != "")
@@ -49,7 +50,7 @@ def with_fields(commands: DataFrame) -> DataFrame:
 
 
 def dictionary(raw: DataFrame) -> DataFrame:
-    """(raw, code): equal codes if and only if the canonical forms are equal.
+    """(raw, n, code): the number of rows of each raw field, and a code; equal codes if and only if the canonical forms are equal.
 
     A code is a bucket, from the form's hash, and the form's rank in it: no global order is
     needed and a recomputed task gives the same codes.
@@ -57,9 +58,9 @@ def dictionary(raw: DataFrame) -> DataFrame:
     canon = F.trim(F.regexp_replace("raw", r"[^\p{L}\p{N}]+", " "))
     rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("canon"))
     return (
-        raw.select("raw").distinct().withColumn("canon", canon)
+        raw.groupBy("raw").agg(F.count(F.lit(1)).alias("n")).withColumn("canon", canon)
         .withColumn("bucket", F.pmod(F.xxhash64("canon"), F.lit(BUCKETS)))
-        .select("raw", (F.col("bucket") * F.lit(1 << 40) + rank).alias("code"))
+        .select("raw", "n", (F.col("bucket") * F.lit(1 << 40) + rank).alias("code"))
     )
 
 
@@ -74,14 +75,23 @@ def collapse_formatting(rows: DataFrame, key: str, command: str) -> DataFrame:
 
     Exact repeats are counted before anything else is shuffled, and groups are summed map-side,
     so a command that holds a third of the rows never meets in one task. The distinct commands'
-    fields are written once to the shared checkpoint folder and read twice. A frequent field can
-    hold many of the rows of the dictionary join; adaptive execution splits that partition.
+    fields are written once to the shared checkpoint folder and read twice. A field that holds
+    more than one in HOT rows gets its code from a broadcast: there are fewer than HOT such fields,
+    each of at most 1,000 characters, so its size is bounded whatever the data; all other fields
+    are joined by shuffle, and none of them is frequent.
     """
     raw = rows.select(F.col(key).alias("rec"), F.col(command).alias("command")).where(F.col("command").isNotNull())
     raw = raw.groupBy("command").agg(F.min("rec").alias("rec"), F.count(F.lit(1)).alias("n"))
     fields = with_fields(raw).select("rec", "n", F.explode("fields").alias("f")).select("rec", "n", "f.kind", "f.pos", "f.raw")
-    fields = Cutter(rows.sparkSession, "formatdup").cut(fields)  # read for the dictionary and for the tuples
-    coded = fields.join(dictionary(fields), "raw").select("rec", "n", F.struct("kind", "pos", "code").alias("e"))
+    cutter = Cutter(rows.sparkSession, "formatdup")
+    fields = cutter.cut(fields)  # read for the dictionary and for the tuples
+    codes = cutter.cut(dictionary(fields))
+    total = codes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = (F.col("n") * HOT > total) & (F.length("raw") <= 1000)
+    hot = F.broadcast(codes.where(frequent).select("raw", F.col("code").alias("hot")))
+    marked = fields.join(hot, "raw", "left")
+    rare = marked.where("hot is null").join(codes.where(~frequent).select("raw", "code"), "raw")
+    coded = marked.where("hot is not null").withColumnRenamed("hot", "code").unionByName(rare.drop("hot")).select("rec", "n", F.struct("kind", "pos", "code").alias("e"))
     tuples = coded.groupBy("rec").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("e")).alias("es"))
     tuples = tuples.select("rec", "n", F.transform("es", lambda e: F.struct(e["kind"].alias("kind"), e["code"].alias("code"))).alias("tuple"))
     return tuples.groupBy("tuple").agg(F.min("rec").alias("rep_id"), F.sum("n").alias("n_copies"), F.count(F.lit(1)).alias("n_notations")).drop("tuple")

@@ -1,19 +1,19 @@
 """Documents packed into context windows by lexical retrieval.
 
 The corpus is packed in shards: the documents of one input split, in bounded groups. Each shard
-holds a BM25 inverted index over its documents. The largest unused document seeds a window; the
-index returns its unused neighbours, and the best that still fit fill the window greedily.
-Windows that stay short are filled up by best fit. Document frequencies come from all documents,
-as counts over a fixed number of hashed terms.
+holds a BM25 inverted index over its documents, by their exact terms. The largest unused document
+seeds a window; the index returns its unused neighbours, and the best that still fit fill the
+window greedily. The items of windows that stay short are placed anew: of the windows that an item
+fills about as tightly as any, it goes to the one that holds its best neighbour. Document
+frequencies come from all documents, in a count-min sketch of fixed size.
 """
 
 from __future__ import annotations
 
-import bisect
 import re
 import string
 from collections.abc import Iterable, Iterator
-from zlib import crc32
+from zlib import adler32, crc32
 
 import numpy as np
 import pandas as pd
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 2048
 SHARD = 2048
-BINS = 1 << 16
+BINS = 1 << 17  # of each of the two rows of the sketch of document frequencies
+SLACK = 64  # an item may leave up to a 64th of the window more than in the tightest place, to be with its neighbours
 K1, B = 1.2, 0.75
 
 #: Tokens: a run of letters, one to three digits, any other single character but white space.
@@ -47,56 +48,70 @@ def token_spans(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in TOKEN.finditer(text)]
 
 
+def _slots(term: bytes) -> tuple[int, int]:
+    return crc32(term) % BINS, BINS + adler32(term * 3) * 2654435761 % (1 << 32) % BINS
+
+
 class Terms:
-    """Term bins of texts, one for each word; remembers the bins of terms it has seen."""
+    """Numbers of terms as they come, and their places in the sketch."""
 
     def __init__(self) -> None:
         self.number: dict[bytes, int] = {}
+        self.slots: list[tuple[int, int]] = []
 
-    def bins(self, words: Iterable[bytes]) -> list[int]:
+    def numbers(self, words: Iterable[bytes]) -> list[int]:
         out, number = [], self.number
         for w in words:
             c = number.get(w)
             if c is None:
-                c = number[w] = crc32(w) % BINS
+                c = number[w] = len(self.slots)
+                self.slots.append(_slots(w))
             out.append(c)
         return out
 
 
 def document_frequencies(documents: DataFrame, text: str) -> tuple[np.ndarray, int]:
-    """(documents with a term, by term bin; number of documents), over all documents.
+    """(documents with a term, by place in the sketch; number of documents), over all documents.
 
-    The bins are of fixed number, so what reaches the driver doesn't grow with the corpus.
+    A term's frequency is the lesser of its two places, never too small. The sketch is of fixed
+    size, so what reaches the driver doesn't grow with the corpus.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, terms = np.zeros(BINS + 1, np.int64), Terms()
+        total, terms = np.zeros(2 * BINS + 1, np.int64), Terms()
         for pdf in batches:
             flat: list[int] = []
             for t in pdf["text"]:
-                flat += set(terms.bins(set(counted(t)[1])))
-            total += np.bincount(np.array(flat, np.int64), minlength=BINS + 1)
-            total[BINS] += len(pdf)
+                flat += terms.numbers(set(counted(t)[1]))
+            if flat:
+                seen = np.bincount(np.array(flat, np.int64), minlength=len(terms.slots))
+                slots = np.array(terms.slots, np.int64)
+                for k in (0, 1):
+                    total += np.bincount(slots[:, k], seen, minlength=2 * BINS + 1).astype(np.int64)
+            total[2 * BINS] += len(pdf)
+            if len(terms.slots) > 1_000_000:
+                terms = Terms()
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bin": at, "n": total[at]})
 
     texts = documents.select(F.col(text).alias("text")).where(F.col("text").isNotNull())
-    df = np.zeros(BINS + 1, np.int64)
+    df = np.zeros(2 * BINS + 1, np.int64)
     for b, n in texts.mapInPandas(run, "bin long, n long").groupBy("bin").agg(F.sum("n")).collect():
         df[b] = n
-    return df[:BINS], int(df[BINS])
+    return df[: 2 * BINS], int(df[2 * BINS])
 
 
 class Shard:
     """BM25 inverted index over a bounded group of items, and the windows packed from it."""
 
     def __init__(self, sizes: list[int], doc: np.ndarray, term: np.ndarray, idf: np.ndarray, window: int):
-        """doc and term: the item and the term bin of every word. A length is a number of words."""
+        """doc and term: the item and the term number of every word; idf by term number. A length is a number of words."""
         self.sizes, self.window = np.array(sizes, np.int64), window
         n = len(sizes)
         lengths = np.bincount(doc, minlength=n).astype(np.float64)
-        code, count = np.unique(doc * np.int64(BINS) + term, return_counts=True)
-        doc, term = code // BINS, code % BINS
+        wide = np.int64(max(1, len(idf)))
+        code, count = np.unique(doc * wide + term, return_counts=True)
+        doc, term = code // wide, code % wide
         self.of = np.split(term, np.searchsorted(doc, np.arange(1, n)))
         order = np.argsort(term, kind="stable")
         term, self.posting = term[order], doc[order]
@@ -143,26 +158,43 @@ class Shard:
                         left -= size
             windows.append(chosen)
             rest.append(left)
-        return _refill(windows, rest, sizes.tolist(), window)
-
-
-def _refill(windows: list[list[int]], rest: list[int], sizes: list[int], window: int) -> list[list[int]]:
-    """Short windows taken apart again and their items given, largest first, to the tightest window that holds them."""
-    keep = [k for k in range(len(windows)) if rest[k] * 20 <= window]
-    loose = sorted((d for k in range(len(windows)) if rest[k] * 20 > window for d in windows[k]), key=lambda d: (-sizes[d], d))
-    out = [windows[k] for k in keep]
-    gaps = sorted((rest[k], n) for n, k in enumerate(keep) if rest[k])
-    for d in loose:
-        at = bisect.bisect_left(gaps, (sizes[d], -1))
-        if at < len(gaps):
-            gap, n = gaps.pop(at)
-            out[n].append(d)
-        else:
-            gap, n = window, len(out)
-            out.append([d])
-        if gap - sizes[d]:
-            bisect.insort(gaps, (gap - sizes[d], n))
-    return out
+        self.first_fill = float(sizes.sum()) / (window * max(1, len(windows)))
+        return self.refill(windows, rest)
+
+    def refill(self, windows: list[list[int]], rest: list[int]) -> list[list[int]]:
+        """Short windows taken apart again and their items placed anew, largest first.
+
+        An item goes to the window, of those that it fills up to SLACK as tightly as any, that
+        holds its best neighbour by BM25; if it fits nowhere it begins a new window.
+        """
+        sizes, window = self.sizes, self.window
+        keep = [k for k in range(len(windows)) if rest[k] * 20 <= window]
+        loose = sorted((d for k in range(len(windows)) if rest[k] * 20 > window for d in windows[k]), key=lambda d: (-int(sizes[d]), d))
+        out = [windows[k] for k in keep]
+        home = np.full(len(sizes), -1, np.int64)
+        for n, w in enumerate(out):
+            home[w] = n
+        gaps = np.zeros(len(out) + len(loose), np.int64)
+        gaps[: len(out)] = [rest[k] for k in keep]
+        for d in loose:
+            size, n = int(sizes[d]), len(out)
+            fits = np.flatnonzero(gaps[:n] >= size)
+            if len(fits):
+                near = fits[gaps[fits] <= gaps[fits].min() + window // SLACK]
+                if len(near) > 1:
+                    score, placed = self.scores(d), np.flatnonzero(home >= 0)
+                    best = np.zeros(n)
+                    np.maximum.at(best, home[placed], score[placed])
+                    near = near[np.lexsort((near, gaps[near], -best[near]))]
+                at = int(near[0])
+                out[at].append(d)
+            else:
+                at = n
+                out.append([d])
+                gaps[at] = window
+            gaps[at] -= size
+            home[d] = at
+        return out
 
 
 def pack_windows(documents: DataFrame, key: str, text: str, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
@@ -178,10 +210,10 @@ def pack_windows(documents: DataFrame, key: str, text: str, window: int = WINDOW
     document frequencies, which has a fixed size.
     """
     df, total = document_frequencies(documents, text)
-    idf = np.log(1 + (total - df + 0.5) / (df + 0.5))  # positive for every term
-    shared = documents.sparkSession.sparkContext.broadcast(idf)
+    shared = documents.sparkSession.sparkContext.broadcast(df)
 
-    def pack(ids: list, texts: list[str], label: str, known: Terms) -> pd.DataFrame:
+    def pack(ids: list, texts: list[str], label: str) -> pd.DataFrame:
+        known = Terms()
         rows, sizes, item_row, counts, bins, whole = [], [], [], [], [], []
         for doc, t in zip(ids, texts):
             n, words = counted(t)
@@ -200,13 +232,16 @@ def pack_windows(documents: DataFrame, key: str, text: str, window: int = WINDOW
                     continue
                 sizes.append(size)
                 item_row.append(len(rows) - 1)
-                own = known.bins(words if pieces == 1 else counted(t[a:b])[1])
+                own = known.numbers(words if pieces == 1 else counted(t[a:b])[1])
                 bins += own
                 counts.append(len(own))
         windows = [[r] for r in whole]
         if sizes:
             postings = np.repeat(np.arange(len(sizes), dtype=np.int64), counts)
-            built = Shard(sizes, postings, np.array(bins, np.int64), shared.value, window)
+            slots = np.array(known.slots, np.int64).reshape(-1, 2)
+            n = np.minimum(shared.value[slots[:, 0]], shared.value[slots[:, 1]])
+            idf = np.log(1 + (max(total, 1) - n + 0.5).clip(0.5) / (n + 0.5))  # positive for every term
+            built = Shard(sizes, postings, np.array(bins, np.int64), idf, window)
             windows += [[item_row[d] for d in w] for w in built.pack()]
         out = []
         for k, w in enumerate(windows):
@@ -217,15 +252,15 @@ def pack_windows(documents: DataFrame, key: str, text: str, window: int = WINDOW
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, k, ids, texts, known = TaskContext.get().partitionId(), 0, [], [], Terms()
+        part, k, ids, texts = TaskContext.get().partitionId(), 0, [], []
         for pdf in batches:
             ids += pdf["doc_id"].tolist()
             texts += pdf["text"].tolist()
             while len(ids) >= shard:
-                yield pack(ids[:shard], texts[:shard], f"{part}-{k}", known)
+                yield pack(ids[:shard], texts[:shard], f"{part}-{k}")
                 ids, texts, k = ids[shard:], texts[shard:], k + 1
         if ids:
-            yield pack(ids, texts, f"{part}-{k}", known)
+            yield pack(ids, texts, f"{part}-{k}")
 
     rows = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -3,14 +3,18 @@
 Lengths are modelled for each source as log-normal and right-censored: at a field limit stand
 the texts that would have been longer. The limits are the lengths that hold far more texts than
 their surroundings; maximum likelihood gives the distribution, and with it the probability that
-a text of just that length was censored. How a text ends is the other evidence: an open code
-block, a sentence without its end, a word that is only the beginning of words that usually end
-lines like this one. Both are added as log odds.
+a text of just that length was censored.
+
+How a text ends is the other evidence: what kind of line is last, whether its last word is one
+that such lines end on, whether a block is open. How often cut texts end so is measured on the
+corpus itself, by cutting every text once at a random place; how often whole texts do is what
+remains of the observed endings when as many cut ones are taken away as the rarest explanation
+allows. The log odds of both are added to those of the posterior at a limit, and to those of the
+overall share of cut texts elsewhere.
 
 The last line of a list, a pair, a link or a closing may look whole by chance. At a limit the
-posterior decides there, with likelihoods that are fitted for each source and last word: how
-often its whole texts end so, and how often the same texts look so where they are cut at a
-random place, inside such a line or at its end.
+likelihoods are those of its source and last word: how often whole texts end so, and how often
+the same texts look so where they are cut at a random place inside such a line.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.cut import Cutter
+
 BINS = 1 << 16
 NEAR = 40  # lengths on either side that a spike is compared with
 SPIKE = 6.0  # times the mean of its surroundings
@@ -105,50 +111,79 @@ class LineEnds:
         for k, seen in enumerate((ends, prefixes, anywhere)):
             into[k] += np.bincount(np.array(seen, np.int64), minlength=BINS)
 
-    def whole(self, word: str) -> float:
-        """Log odds that a line may end on this word."""
+    def trait(self, word: str) -> str:
+        """Whether a line ends on this word often, at times or hardly ever."""
         e, p, a = self.ends[_bin("e", word)], self.prefixes[_bin("p", word)], self.anywhere[_bin("a", word)]
         if e < 3 or e < 0.1 * p or e < 0.02 * a:
-            return -4.0
-        return 6.0 if e > 0.5 * p and e > 0.1 * a else 4.5
+            return "other"
+        return "often" if e > 0.5 * p and e > 0.1 * a else "word"
+
 
+#: Endings that need no odds: what is lost or marked as lost, and what ends a text by definition.
+CERTAIN = {"empty": -9.0, "lost character": 9.0, "mark": 9.0, "marked sentence": -9.0, "sentence": -9.0, "block": -9.0}
+#: Traits of a last line that looks whole.
+WHOLE = ("often", "word", "number", "file")
 
-def ending(line: str, open_block: bool, ends: LineEnds) -> tuple[str, float]:
-    """How a text ends, by its last line, and the log odds that it breaks off there."""
+
+def ending(line: str, open_block: bool, ends: LineEnds) -> tuple[str, str]:
+    """How a text ends, by its last line: the kind of the ending, and what is remarkable about its last word."""
     if not line.strip():
-        return "empty", -9.0
+        return "empty", ""
     bare = _MARK.sub("", line).rstrip()
     if _LOST.search(line):
-        return "lost character", 6.0
+        return "lost character", ""
     if bare != line.rstrip():
-        return ("marked sentence", -3.0) if _END.search(bare) else ("mark", 6.0)
+        return ("marked sentence" if _END.search(bare) else "mark"), ""
     bare = line.strip()
     if open_block:
-        return "open block", 5.0
+        return "open block", ""
     if bare.startswith(("```", "~~~")):
-        return "block", -9.0
+        return "block", ""
     if bare.count("`") % 2:
-        return "open code", 5.0
+        return "open code", ""
     if _END.search(bare) or _EMOJI.search(bare):
         token = bare.rsplit(None, 1)[-1]
         if token.endswith(".") and "/" in token and "://" not in token and not _EXT.search(token.rstrip(".")) and not token.endswith("..."):
-            return "open path", 3.0
-        return "sentence", -9.0
+            return "open path", ""
+        return "sentence", ""
     kind, body = line_kind(bare)
     if kind == "prose":
-        if bare.startswith("#"):
-            return "heading", 2.0 if ends.whole(last_word(bare)) > 0 else 5.0
-        return "prose", 5.0
+        return ("heading", ends.trait(last_word(bare))) if bare.startswith("#") else ("prose", "")
     token = body.rsplit(None, 1)[-1] if body.split() else ""
     if not token:
-        return kind, 4.0
+        return kind, "nothing"
     if token[-1].isdigit():
-        return kind, -5.0
+        return kind, "number"
     if _EXT.search(token):
-        return kind, -6.0
+        return kind, "file"
     if kind != "url" and ("/" in token or "." in token):
-        return kind, 4.0
-    return kind, -ends.whole(last_word(token))
+        return kind, "joined"
+    return kind, ends.trait(last_word(token))
+
+
+def unsure(kind: str, trait: str) -> bool:
+    return kind in UNSURE and trait in WHOLE
+
+
+class Odds:
+    """Log likelihood ratios of the endings, and the log odds of a cut text, from counts (whole, cut) by ending.
+
+    What is observed is a mixture of whole texts and of cut ones, which end like random cuts. The
+    share of cut ones is the largest that no ending contradicts, of those that at least a 20th of
+    the cuts show: an ending that whole texts never have is seen only as often as cuts bring it.
+    """
+
+    def __init__(self, counts: dict[str, tuple[int, int]]):
+        seen = sum([n for n, _ in counts.values()]) + 1.0
+        cuts = sum([k for _, k in counts.values()]) + 1.0
+        shares = {e: (n / seen, k / cuts) for e, (n, k) in counts.items()}
+        self.share = min([1e-2 if not counts else 0.5, *[(n + 0.5 / seen) / k for n, k in shares.values() if k >= 0.05]])
+        self.ratio = {e: math.log((k + 0.5 / cuts) / (max(0.0, n - self.share * k) / (1 - self.share) + 0.5 / seen)) for e, (n, k) in shares.items()}
+        self.prior = math.log(self.share / (1 - self.share))
+
+    def of(self, kind: str, trait: str) -> float:
+        """Log likelihood ratio of an ending; +-9 of the certain ones, 0 of one never seen."""
+        return CERTAIN.get(kind, self.ratio.get(f"{kind}/{trait}", 0.0))
 
 
 def censoring(lengths: pd.DataFrame) -> pd.DataFrame:
@@ -217,21 +252,21 @@ def fitted_odds(posterior: Column, whole: Column, inside: Column, between: Colum
 
 
 def truncated_texts(documents: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """(doc_id, source, n, ending, posterior, score, truncated) of every non-null text.
+    """(doc_id, source, n, ending, posterior, score, alone, truncated) of every non-null text.
 
     n is the length in code points, ending how the text ends, posterior the probability that a
     text of this length of its source was censored (0 at lengths that are no limit), score the
-    log odds that the text was cut off, truncated whether they are positive. A text that ends on
-    a whole sentence or block is not cut, whatever its length; one that seems to end on a whole
-    list entry, status, path, link or closing line is cut if it stands at a limit and it is more
-    likely to have been cut inside that line. Null texts give no row, empty ones are not cut; a null source is a source of its
-    own; repeated rows count each.
+    log odds that the text was cut off, truncated whether they are positive, alone whether the
+    ending alone says so. A text that ends on a whole sentence or block, or is empty, is not cut
+    by definition, whatever its length, and one with a mark of loss is; everything else is up to
+    the fitted odds. Null texts give no row; a null source is a source of its own; repeated rows
+    count each. In an empty table nothing is fitted and nothing comes out.
 
     Three passes: one over all lines for the counts of line ends, of fixed size, one that adds
-    up lengths by source, and one that counts the uncertain endings of whole and of cut
-    texts, of which those of sources with limits are kept, by hashed word; the evidence itself needs the last line and the number of fences,
-    which the JVM takes from the whole text. A source's lengths are pre-aggregated, so a source
-    with a third of all rows is as many rows as it has distinct lengths.
+    up lengths by source, and one that counts the endings of whole and of cut texts. The evidence
+    itself needs the last line and the number of fences, which the JVM takes from the whole text.
+    A source's lengths are pre-aggregated, so a source with a third of all rows is as many rows as
+    it has distinct lengths. The driver gets the bins and one row for each kind of ending.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(source).cast("string"), F.lit(_NONE)).alias("source")).where(F.col("text").isNotNull())
@@ -257,7 +292,8 @@ def truncated_texts(documents: DataFrame, key: str, text: str, source: str) -> D
     t = F.col("text")
     sized = rows.select("doc_id", "source", "text", F.length("text").cast("long").alias("n"))
     measured = sized.select("doc_id", "source", "n", last_line(t).alias("line"), open_fence(t).alias("open"))
-    limits = sized.groupBy("source", "n").agg(F.count(F.lit(1)).alias("count")).groupBy("source").applyInPandas(censoring, "source string, n long, posterior double")
+    cutter = Cutter(spark, "truncation")
+    limits = cutter.cut(sized.groupBy("source", "n").agg(F.count(F.lit(1)).alias("count")).groupBy("source").applyInPandas(censoring, "source string, n long, posterior double"))
 
     part = F.left(t, (F.pmod(F.xxhash64("text"), F.col("n") - 1) + 1).cast("int"))
     after = F.substr(t, F.length(F.rtrim(F.col("part"), F.lit(_BLANK))) + 1)
@@ -269,30 +305,33 @@ def truncated_texts(documents: DataFrame, key: str, text: str, source: str) -> D
             seen: Counter = Counter()
             for source, n, line, o, cut_line, cut_o, inside in zip(*(pdf[c] for c in ("source", "n", "line", "open", "cut_line", "cut_open", "inside"))):
                 for end, is_open, what in ((line, o, "whole"), (cut_line, cut_o, "inside" if inside else "between")):
-                    kind, evidence = ending(end, bool(is_open), ends)
-                    if kind in UNSURE and evidence < 0:
-                        seen[source, n, kind, end_bin(end), what] += 1
+                    kind, trait = ending(end, bool(is_open), ends)
+                    if kind not in CERTAIN or kind in ("sentence", "block"):
+                        seen[source, n, f"{kind}/{trait}", end_bin(end) if unsure(kind, trait) else 0, what] += 1
             yield pd.DataFrame([(*k, c) for k, c in seen.items()], columns=["source", "n", "ending", "word", "what", "count"])
 
-    counted = cut.mapInPandas(tally, "source string, n long, ending string, word int, what string, count long")
-    off = counted.join(limits.select("source", F.col("n").alias("at")).groupBy("source").agg(F.collect_list("at").alias("limits")), "source").where(~F.array_contains("limits", F.col("n")))
-    rates = off.groupBy("source", "ending", "word").agg(*[F.sum(F.when(F.col("what") == w, F.col("count")).otherwise(0)).alias(w) for w in ("whole", "inside", "between")])
+    counted = cut.mapInPandas(tally, "source string, n long, ending string, word int, what string, count long").groupBy("source", "n", "ending", "word").agg(*[F.sum(F.when(F.col("what") == w, F.col("count")).otherwise(0)).alias(w) for w in ("whole", "inside", "between")])
+    counted = counted.join(limits.select("source", "n", F.lit(True).alias("limit")), ["source", "n"], "left").where("limit is null")
+    counted = cutter.cut(counted.groupBy("source", "ending", "word").agg(*[F.sum(w).alias(w) for w in ("whole", "inside", "between")]))
+    odds = Odds({e: (n, k) for e, n, k in counted.groupBy("ending").agg(F.sum("whole"), F.sum("inside")).collect()})
+    at_limits = limits.select("source").distinct()
+    rates = counted.where("word <> 0").join(at_limits, "source", "left_semi").select("source", F.substring_index("ending", "/", 1).alias("ending"), "word", "whole", "inside", "between").groupBy("source", "ending", "word").agg(*[F.sum(w).alias(w) for w in ("whole", "inside", "between")])
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ends = LineEnds(shared.value)
         for pdf in batches:
             found = [ending(line, bool(o), ends) for line, o in zip(pdf["line"], pdf["open"])]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "n": pdf["n"], "ending": [k for k, _ in found], "evidence": [float(e) for _, e in found], "word": [end_bin(line) if k in UNSURE else 0 for line, (k, _) in zip(pdf["line"], found)]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "n": pdf["n"], "ending": [k for k, _ in found], "evidence": [odds.of(*f) for f in found], "certain": [k in CERTAIN for k, _ in found], "word": [end_bin(line) if unsure(*f) else 0 for line, f in zip(pdf["line"], found)]})
 
     kind = measured.schema["doc_id"].dataType.simpleString()
-    judged = measured.mapInPandas(judge, f"doc_id {kind}, source string, n long, ending string, evidence double, word int")
-    odds = F.when(F.col("posterior") > 0, F.least(F.lit(3.0), F.log(F.col("posterior") / (1 - F.col("posterior"))))).otherwise(0.0)
+    judged = measured.mapInPandas(judge, f"doc_id {kind}, source string, n long, ending string, evidence double, certain boolean, word int")
     fitted = fitted_odds(F.col("posterior"), *[F.coalesce(w, F.lit(0)) for w in ("whole", "inside", "between")])
-    unsure = (F.col("posterior") > 0) & F.col("ending").isin(*UNSURE) & (F.col("evidence") < 0)
-    score = F.when(unsure, fitted).otherwise(F.col("evidence") + odds)
+    limit = F.coalesce("posterior", F.lit(0.0)) > 0
+    alone = F.when(F.col("certain"), F.col("evidence")).otherwise(F.col("evidence") + odds.prior)
+    score = F.when(F.col("certain") | ~limit, alone).when(F.col("word") != 0, fitted).otherwise(F.col("evidence") + F.log(F.col("posterior") / (1 - F.col("posterior"))))
     return judged.join(limits, ["source", "n"], "left").join(rates, ["source", "ending", "word"], "left").select(
         "doc_id", F.when(F.col("source") != _NONE, F.col("source")).alias("source"), "n", "ending", F.coalesce("posterior", F.lit(0.0)).alias("posterior"),
-        score.alias("score"), (score > 0).alias("truncated"),
+        score.alias("score"), (alone > 0).alias("alone"), (score > 0).alias("truncated"),
     )
 
 

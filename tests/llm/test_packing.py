@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm.packing import B, BINS, K1, Shard, counted, pack_windows, token_spans
+from tessera.llm.packing import B, K1, Shard, Terms, counted, pack_windows, token_spans
 
 
 @settings(deadline=None, max_examples=200)
@@ -70,7 +70,7 @@ def test_letters_are_terms(spark):
 
 def test_scores_are_bm25_with_term_frequencies():
     docs = [[1, 2], [1, 1, 1, 3], [2, 3, 3, 3]]
-    idf = np.zeros(BINS)
+    idf = np.zeros(5)
     idf[1:4] = 0.5, 0.7, 0.9
     doc = np.array([k for k, d in enumerate(docs) for _ in d])
     got = Shard([len(d) for d in docs], doc, np.array(sum(docs, [])), idf, 10).scores(0)
@@ -78,3 +78,22 @@ def test_scores_are_bm25_with_term_frequencies():
     want = [sum(idf[t] * d.count(t) * (K1 + 1) / (d.count(t) + K1 * (1 - B + B * len(d) / mean)) for t in (1, 2)) for d in docs]
     assert np.allclose(got, want)
     assert counted("é é a")[1].count("é".encode()) == 2
+
+
+def test_terms_are_exact():
+    terms = Terms()
+    words = [f"w{k}".encode() for k in range(200_000)]
+    assert terms.numbers(words) == list(range(200_000)) and terms.numbers([words[7]]) == [7]
+
+
+def test_refill_prefers_neighbours():
+    """Of two windows with about the same room an item goes to the one with its terms."""
+    sizes = [80, 80, 19, 20]
+    terms = [[1, 2], [3, 4], [3, 4], [1, 2]]
+    doc = np.array([k for k, t in enumerate(terms) for _ in t])
+    shard = Shard(sizes, doc, np.array(sum(terms, [])), np.ones(5), 100)
+    windows = shard.refill([[0], [1]], [0, 0])
+    assert windows == [[0], [1]]
+    shard.window = 6400
+    got = shard.refill([[0], [1], [2], [3]], [20, 21, 6300, 6300])
+    assert [0, 3] in got and [1, 2] in got
