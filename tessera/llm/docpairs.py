@@ -1,15 +1,14 @@
 """Functions paired with their documentation, from syntax trees.
 
 Python is parsed by its own parser. The languages with braces (ts, js, go, rs, java) are parsed
-here: strings and comments are masked, the remaining brackets give a tree of blocks, and a block's
-surface, with all inner blocks masked, shows the functions and classes it declares. Only the file
-and the blocks of classes and the like are visited, so a body's own comments are never taken.
+into a tree of declarations by tessera.syntax. Function nodes of the file, of classes and the like
+and of object literals are visited, never those inside a function's body, so a body's own comments
+are never taken. A node's place gives the exact source range and the comments attached to it.
 """
 
 from __future__ import annotations
 
 import ast
-import bisect
 import re
 import textwrap
 import warnings
@@ -20,10 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAST_WORDS = 4
-
-COMMENT, STRING, BLOCK, PARENS = "\x01", "\x02", "\x03", "\x04"
+from tessera.syntax.braces import COMMENT, STRING, Node, parse
 
+LEAST_WORDS = 4
 
 class Function(NamedTuple):
     name: str
@@ -34,14 +32,6 @@ class Function(NamedTuple):
 
 # --- masking
 
-_MASK_C = re.compile(
-    r"""//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)
-      |"(?:\\.|[^"\\\n])*(?:"|(?=\n)|\Z)
-      |'(?:\\.|[^'\\\n])*'
-      |`(?:\\[\s\S]|[^`\\])*(?:`|\Z)""",
-    re.X,
-)
-_MASK_RUST = re.compile(r"""//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|r(\#*)"[\s\S]*?"\1|b?"(?:\\[\s\S]|[^"\\])*(?:"|\Z)|b?'(?:\\.[^'\n]{0,8}|[^'\\\n])'""", re.X)
 _MASK_PY = re.compile(
     r"""\#[^\n]*|(?i:[rbuf]{0,2})(?:\"\"\"(?:\\[\s\S]|[^\\])*?(?:\"\"\"|\Z)|'''(?:\\[\s\S]|[^\\])*?(?:'''|\Z)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')""",
     re.X,
@@ -51,117 +41,29 @@ _NOT_LINE = re.compile(r"[^\n]")
 
 def _fill(m: re.Match) -> str:
     text = m[0]
-    mark = COMMENT if text[0] == "#" or text[:2] in ("//", "/*") else STRING
+    mark = COMMENT if text[0] == "#" else STRING
     return mark * len(text) if "\n" not in text else _NOT_LINE.sub(mark, text)
 
 
 # --- languages with braces
 
-_NAME = r"[A-Za-z_$#][\w$]*"
-_TYPED = r"(?::[^=;{}\n\x03]+)?"
-FUNC = re.compile(
-    rf"""\bfunction\b\s*\*?\s*(?P<f>{_NAME})\s*(?:<[^;{{}}]*?>)?\s*\(
-      |\bfn\s+(?P<r>\w+)\s*(?:<[^;{{}}]*?>)?\s*\(
-      |\bfunc\s+(?:\(\x04\)\s*)?(?P<g>\w+)\s*(?:\[[^\]\n]*\])?\s*\(
-      |(?:\b(?:const|let|var|val)\s+(?:mut\s+)?|(?<![\w$.])(?:module\.)?exports\.|(?<![\w$.])(?:{_NAME}\.)+|(?<![\w$.]))(?P<v>{_NAME})\s*{_TYPED}(?<![=!<>:])=(?![=>])\s*(?:async\b\s*)?
-        (?:function\b|(?:<[^;{{}}]*?>)?\(\x04\)\s*{_TYPED}=>|{_NAME}\s*=>|func\s*\(|(?:move\s*)?\|[^|\n]*\|)
-      |(?P<p>{_NAME})\s*:\s*(?:async\b\s*)?(?:function\b|\(\x04\)\s*=>)
-      |(?<![\w$.])(?P<m>{_NAME})\s*(?:<[^;{{}}()\n]*>)?\s*\(\x04\)\s*(?::[^;{{}}=()]+|throws\s+[\w.,\s]+)?\s*(?=\{{\x03)""",
-    re.X,
-)
-_CONTAINER = re.compile(r"\b(?:class|interface|trait|impl|enum|mod|namespace|module|object|record|extension)\b[^;=()\x03]*$|(?:=|\bexport\s+default|\breturn)\s*$|\bclass\b[^;\x03]*$")
-_NO_METHOD = frozenset("if for while switch catch with function return synchronized new do else try match loop unsafe async await typeof using when sizeof fn func super this".split())
-
-
-_OPEN = re.compile(r"[{(]")
-_BRACKETS = re.compile(r"[{}()]")
 
-
-def _blocks(masked: str) -> dict[int, int]:
-    """Where each brace outside parentheses closes."""
-    closes: dict[int, int] = {}
-    stack: list[tuple[str, int]] = []
-    for m in _BRACKETS.finditer(masked):
-        c, at = m[0], m.start()
-        if c in "{(":
-            stack.append((c, at))
-        else:
-            want = "{" if c == "}" else "("
-            while stack and stack[-1][0] != want and any(s[0] == want for s in stack):
-                stack.pop()  # what was never closed
-            if stack and stack[-1][0] == want:
-                closes[stack.pop()[1]] = at
-    for _, at in stack:
-        closes[at] = len(masked)
-    return closes
-
-
-def _surface(masked: str, a: int, b: int, closes: dict[int, int]) -> tuple[str, list[int], list[int], list[tuple[int, int]]]:
-    """masked[a:b] with one mark for the inside of each bracket; where its parts begin, there and in masked; the blocks' spans."""
-    out, at, inner, here, there, size = [], a, [], [0], [a], 0
-    for m in _OPEN.finditer(masked, a, b):
-        p = m.start()
-        if p < at:
-            continue
-        end = min(closes.get(p, b), b)
-        block = m[0] == "{"
-        out.append(masked[at : p + 1] + (BLOCK if block else PARENS))
-        size += p + 2 - at
-        here.append(size)
-        there.append(end)
-        if block:
-            inner.append((p, end))
-        at = end
-    out.append(masked[at:b])
-    return "".join(out), here, there, inner
-
-
-def parse_braces(text: str, rust: bool = False) -> list[Function]:
-    masked = (_MASK_RUST if rust else _MASK_C).sub(_fill, text)
-    closes = _blocks(masked)
+def parse_braces(text: str, language: str) -> list[Function]:
+    masked, nodes = parse(text, language)
     out: list[Function] = []
-    todo = [(0, len(masked))]
+    todo: list[tuple[Node, int]] = [(n, 0) for n in nodes]
     while todo:
-        a, b = todo.pop()
-        surface, here, there, inner = _surface(masked, a, b, closes)
-
-        def place(p: int) -> int:
-            k = bisect.bisect_right(here, p) - 1  # noqa: B023
-            return there[k] + p - here[k]  # noqa: B023
-
-        if COMMENT in surface:
-            for m in FUNC.finditer(surface):
-                name = m[m.lastgroup]
-                if m.lastgroup in ("m", "p", "v") and name in _NO_METHOD:
-                    continue
-                at = place(m.start())
-                start = _declared_at(masked, at, a)
-                doc = _doc_above(text, masked, start, at, a)
-                if doc:
-                    out.append(Function(name.lstrip("#"), start, _ends_at(masked, place(m.end() - 1), b, closes), doc))
-        for k, (p, end) in enumerate(inner):
-            head = masked[inner[k - 1][1] + 1 if k else a : p]
-            head = head[max(head.rfind(";"), head.rfind("}")) + 1 :].replace(COMMENT, " ").rstrip()
-            if _CONTAINER.search(head) and COMMENT in masked[p:end]:
-                todo.append((p + 1, end))
+        node, low = todo.pop()
+        if node.callable:
+            start = _declared_at(masked, node.at, low)
+            doc = _doc_above(text, masked, start, node.at, low)
+            if doc:
+                out.append(Function(node.name, start, node.end, doc))
+        else:
+            todo += [(n, node.at) for n in node.children]
     return out
 
 
-def _ends_at(masked: str, at: int, b: int, closes: dict[int, int]) -> int:
-    """End of a function whose header reaches to at."""
-    p = at
-    while p < b:
-        c = masked[p]
-        if c == "{":
-            return min(closes.get(p, b) + 1, b)
-        if c == "(":
-            p = closes.get(p, b)
-        elif c == ";":
-            return p + 1
-        p += 1
-    return b
-
-
 _DECORATOR = re.compile(r"\s*(?:@[\w.]+(?:\s*\(.*\))?|#!?\[.*\])\s*")
 _MODIFIERS = re.compile(r"(?:(?:export|default|declare|async|public|private|protected|static|final|abstract|override|readonly|synchronized|native|pub(?:\(\w+\))?|unsafe|extern|const|get|set|\*|[\w$]+(?:<[^;{}()]*>)?(?:\[\])?|@[\w.]+(?:\([^()]*\))?|#\[[^\]]*\])\s+)*$")
 
@@ -343,33 +245,30 @@ def own_words(text: str, name: str) -> list[str]:
 
 
 _TOKEN = re.compile(r"[\w$]+(?:['’]\w+)?")
-#: A documentation of a function with braces that isn't the first thing in the text.
-_NESTING = re.compile(r"\b(?:class|interface|trait|impl|enum|mod|namespace|module|object|record|extension)\b|[=]\s*\{|\bdefault\s*\{|\breturn\s*\{|\}\s*\n\s*(?://|/\*)|(?://[^\n]*|\*/)\s*(?:@|#\[|\bexport|\bpub\b|\bfunc|\bfn\b|\basync\b|\bpublic|\bprivate|\bprotected|\bstatic)")
 
 
 def _may_document(text: str, language: str) -> bool:
-    """Whether a function can be documented. In Python there are a function and a quote or a comment; else a comment opens the text, stands as far left as the text, or there is something to nest in."""
+    """Whether there is anything that can be a documentation: a comment's mark, or in Python a function and a quote."""
     if language == "py":
         return ("def" in text or "lambda" in text) and any([c in text for c in "\"'#"])
-    bare = text.lstrip()
-    if bare[:2] in ("//", "/*") or bare[:1] in "@#":
-        return True
-    indent = len(text) - len(text.lstrip(" \t"))
-    return bool(_NESTING.search(text)) or bool(re.search(rf"\n[ \t]{{0,{min(indent, 60)}}}(?://|/\*)", text))
+    return "//" in text or "/*" in text
+
+
+_LONE_RETURN = re.compile(r"\r(?!\n)")
 
 
 def documented(text: str, language: str) -> list[tuple[str, int, int, str, str]]:
     """(name, start, end, code, description) of the functions with a real description."""
-    plain = text.replace("\r\n", "\n").replace("\r", "\n")
+    plain = _LONE_RETURN.sub("\n", text)  # as long as text, so places are the same
     if not _may_document(plain, language):
         return []
-    found = parse_python(plain) if language == "py" else parse_braces(plain, language == "rs")
+    found = parse_python(plain) if language == "py" else parse_braces(plain, language)
     out, seen = [], set()
     for f in sorted(found, key=lambda f: (f.start, f.name)):
         said = description(f.doc)
         if (f.name, f.start) not in seen and len(own_words(said, f.name)) >= LEAST_WORDS:
             seen.add((f.name, f.start))
-            out.append((f.name, f.start, f.end, plain[f.start : f.end], said))
+            out.append((f.name, f.start, f.end, text[f.start : f.end], said))
     return out
 
 
@@ -388,8 +287,8 @@ def function_pairs(symbols: DataFrame, key: str, content: str, path: str | None
     A function, method or function-valued variable counts if the comment directly above it
     (decorators, attributes and annotations may stand between) or its docstring has LEAST_WORDS
     words left without marks, tags with their arguments, directives, commented-out code and the
-    words of its own name. start and end are the source range in the content with \\n as line
-    end. Nested functions count by their docstring only. Code that can't be parsed whole gives
+    words of its own name. start and end are the exact range of code in the content, in code
+    points, whatever its line ends. Nested functions count by their docstring only. Code that can't be parsed whole gives
     what can be read; null and empty contents and those without comment or docstring give no
     row; what goes to the parser is everything with a comment's mark, or with def and a quote. Repeated rows each count. No shuffle.
     """
