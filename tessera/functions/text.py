@@ -69,6 +69,13 @@ PHRASES = (
     ("(?:the|a|an)", ""),
     ("(?:just|very|really|actually|basically|simply|probably|maybe|perhaps|kind of|sort of)", ""),
 )
+# Punctuation rules of prose compression, applied after the phrases, in this order.
+PUNCTUATION = (
+    (r"\s+([,.;:!?])", 1),
+    (r"([,;:!?])\1+", 1),
+    (r"\s{2,}", " "),
+    (r"\s+-\s+", " — "),
+)
 # Credential shapes that are removed before sharing.
 BEARER = r"Bearer\s+[A-Za-z0-9._~+/-]+=*"
 TOKEN_SHAPES = r"(?:github_pat_[A-Za-z0-9_]{20,}|gh[pousr]_[A-Za-z0-9]{20,}|sk-(?:proj-)?[A-Za-z0-9_-]{16,}|xox[baprs]-[A-Za-z0-9-]{10,}|AKIA[0-9A-Z]{16})"
@@ -112,10 +119,11 @@ def compress_prose(text: Column) -> Column:
     body = text
     for phrase, short in PHRASES:
         body = F.regexp_replace(body, ascii_word(f"(?i:{phrase})", first_letters(phrase)), short)
-    body = F.regexp_replace(body, r"\s+([,.;:!?])", "$1")
-    body = F.regexp_replace(body, r"([,;:!?])\1+", "$1")
-    body = F.regexp_replace(body, r"\s{2,}", " ")
-    body = F.regexp_replace(body, r"\s+-\s+", " — ")
+    # most texts hold some phrase, few hold all: a text without any skips these passes
+    some = "|".join(p for p, _ in PHRASES)
+    body = F.when(text.rlike(rf"(?i)(?<![A-Za-z0-9_])(?:{some})(?![A-Za-z0-9_])"), body).otherwise(text)
+    for pattern, to in PUNCTUATION:
+        body = F.regexp_replace(body, pattern, f"${to}" if isinstance(to, int) else to)
     body = trim_all(body)
     lead = F.regexp_extract(text, r"^\s*", 0)
     trail = F.when(text.rlike(r"\s$"), F.regexp_extract(text, r"(\s+)$", 1)).otherwise("")

@@ -9,34 +9,53 @@ from tessera.functions import text as T
 from tessera.functions.prose import compressed
 from tessera.operators import budget as B
 from tessera.operators import retrieval as R
+from tessera.operators.inverted import TOKENS, indexed_topk, search_indexed
+from tessera.plans.stored import stored_index
 from tessera.session import table
 
 QUERY = "stale registry decoder registry"
 
 
+def _documents_index(spark: SparkSession, d: str):
+    return stored_index(spark, "documents", table(spark, d, "documents").select("doc_id", "text"), "doc_id", F.col("text"))
+
+
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
-    return R.bm25_topk(table(spark, d, "documents"), "doc_id", F.col("text"), QUERY, 10)
+    return indexed_topk(_documents_index(spark, d), QUERY, 10).withColumnRenamed("key", "doc_id")
 
 
 def bm25_scoped(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of the scope alone: the filter comes first."""
-    return R.bm25_topk(table(spark, d, "documents").where("scope = 'general'"), "doc_id", F.col("text"), QUERY, 10)
+    scope = table(spark, d, "documents").where("scope = 'general'").select(F.col("doc_id").alias("key"))
+    return indexed_topk(_documents_index(spark, d), QUERY, 10, scope).withColumnRenamed("key", "doc_id")
+
+
+def bm25_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The same search without an index, as for a table that is asked once."""
+    return R.bm25_topk(table(spark, d, "documents"), "doc_id", F.col("text"), QUERY, 10)
 
 
 WEIGHTS = {"title": 3, "tags": 2, "description": 2, "collection": 2, "body": 1}
 
 
+def _memory_index(spark: SparkSession, d: str):
+    memories = table(spark, d, "memories").select("rev_id", *WEIGHTS)
+    return stored_index(spark, "memories", memories, "rev_id", R.weighted_text(WEIGHTS))
+
+
+def _active(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "memories").where("not coalesce(invalidated, false)").select(F.col("rev_id").alias("key"), "type")
+
+
 def memory_search(spark: SparkSession, d: str) -> DataFrame:
-    memories = table(spark, d, "memories").where("not coalesce(invalidated, false)")
-    return R.bm25_topk(memories, "rev_id", R.weighted_text(WEIGHTS), "merge nested wrapper", 10)
+    return indexed_topk(_memory_index(spark, d), "merge nested wrapper", 10, _active(spark, d)).withColumnRenamed("key", "rev_id")
 
 
 def failure_search(spark: SparkSession, d: str) -> DataFrame:
     """Twice the wanted rows are searched and only failure records kept of them, in that order."""
-    memories = table(spark, d, "memories").where("not coalesce(invalidated, false)")
-    best = R.bm25_topk(memories, "rev_id", R.weighted_text(WEIGHTS), "restore failed command", 10)
-    kinds = memories.select("rev_id", "type")
-    return best.join(kinds, "rev_id").where("type = 'FailureRecord'").orderBy(F.desc("score"), "rev_id").limit(5).select("rev_id", "score")
+    best = indexed_topk(_memory_index(spark, d), "restore failed command", 10, _active(spark, d))
+    kept = best.join(_active(spark, d), "key").where("type = 'FailureRecord'").orderBy(F.desc("score"), "key").limit(5)
+    return kept.select(F.col("key").alias("rev_id"), "score")
 
 
 def _bm25_sql(key: str, rows: str, query: str, limit: int) -> str:
@@ -57,13 +76,28 @@ _MEMORY_TEXT = "concat_ws(' ', title, title, title, array_to_string(tags, ' '),
 _MEMORIES = f"SELECT rev_id, {_MEMORY_TEXT} AS t FROM memories WHERE NOT coalesce(invalidated, false)"
 
 
+def symbol_index(spark: SparkSession, d: str):
+    symbols = table(spark, d, "symbols").select("id", "name", "content")
+    return stored_index(spark, "symbols", symbols, "id", F.concat_ws(" ", "name", "content"), TOKENS, True)
+
+
 def symbol_search(spark: SparkSession, d: str) -> DataFrame:
     """All terms first, then any."""
-    return R.search_symbols(table(spark, d, "symbols"), "where is the vault token", 20).select("id", "name", "pass", "score")
+    return search_indexed(symbol_index(spark, d), table(spark, d, "symbols"), "where is the vault token", 20).select("id", "name", "pass", "score")
 
 
 def symbol_search_name(spark: SparkSession, d: str) -> DataFrame:
-    return R.search_symbols(table(spark, d, "symbols"), "mergeAlert", 10).select("id", "name", "pass", "score")
+    return search_indexed(symbol_index(spark, d), table(spark, d, "symbols"), "mergeAlert", 10).select("id", "name", "pass", "score")
+
+
+def symbol_search_phrase(spark: SparkSession, d: str) -> DataFrame:
+    """A term of several tokens is a phrase whose last token is a prefix."""
+    return search_indexed(symbol_index(spark, d), table(spark, d, "symbols"), "return_nul", 10).select("id", "name", "pass", "score")
+
+
+def symbol_search_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The same search without an index."""
+    return R.search_symbols(table(spark, d, "symbols"), "where is the vault token", 20).select("id", "name", "pass", "score")
 
 
 def symbol_like(spark: SparkSession, d: str) -> DataFrame:
@@ -80,11 +114,11 @@ b0 AS (SELECT * FROM scored WHERE %(any)s ORDER BY bm25 DESC, id LIMIT %(over)d)
 SELECT id, name, pass, score FROM (SELECT * FROM a UNION ALL SELECT * FROM b WHERE %(two)s AND (file_path, start_line, name) NOT IN (SELECT (file_path, start_line, name) FROM a WHERE start_line IS NOT NULL AND file_path IS NOT NULL)) ORDER BY pass, score DESC, bm25 DESC, id LIMIT %(limit)d"""
 
 
-def _symbol_sql(query: str, limit: int) -> str:
+def _symbol_sql(query: str, limit: int, phrases: dict[str, str] = {}) -> str:  # noqa: B006
     terms = R.query_terms(query)
     k = range(len(terms))
     return _SYMBOL_SEARCH % {
-        "tfs": ", ".join(f"len(list_filter(w, lambda t: starts_with(t, '{t}')))::DOUBLE AS tf{i}" for i, t in enumerate(terms)),
+        "tfs": ", ".join(phrases.get(t, f"len(list_filter(w, lambda t: starts_with(t, '{t}')))") + f"::DOUBLE AS tf{i}" for i, t in enumerate(terms)),
         "dfs": ", ".join(f"sum((tf{i} > 0)::INT)::DOUBLE AS df{i}" for i in k),
         "score": " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / mean))" for i in k),
         "exact": query.strip().lower(), "first": terms[0], "all": " AND ".join(f"tf{i} > 0" for i in k), "any": " OR ".join(f"tf{i} > 0" for i in k),
@@ -205,7 +239,7 @@ _STATUS_SQL = "CASE substr(diff, 1, 2) " + " ".join(f"WHEN '{k}' THEN '{v}'" for
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_search, bm25_scoped, memory_search, failure_search, symbol_search, symbol_search_name, symbol_like, compress_prose, compress_protected, compression_savings, redact_shared,
+        bm25_search, bm25_scoped, bm25_scan, memory_search, failure_search, symbol_search, symbol_search_name, symbol_search_phrase, symbol_search_scan, symbol_like, compress_prose, compress_protected, compression_savings, redact_shared,
         slug_titles, remote_paths, html_titles, task_scales, path_classes, command_classes, status_labels, token_counts, context_pack, truncate_ends,
     )
 }
@@ -215,6 +249,9 @@ SQL = {
     "bm25_scoped": _bm25_sql("doc_id", "SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE scope = 'general'", QUERY, 10),
     "memory_search": _bm25_sql("rev_id", _MEMORIES, "merge nested wrapper", 10),
     "failure_search": f"SELECT rev_id, score FROM ({_bm25_sql('rev_id', _MEMORIES, 'restore failed command', 10)}) JOIN (SELECT rev_id, type FROM memories) USING (rev_id) WHERE type = 'FailureRecord' ORDER BY score DESC, rev_id LIMIT 5",
+    "bm25_scan": _bm25_sql("doc_id", "SELECT doc_id, coalesce(text, '') AS t FROM documents", QUERY, 10),
+    "symbol_search_scan": _symbol_sql("where is the vault token", 20),
+    "symbol_search_phrase": _symbol_sql("return_nul", 10, {"return_nul": "len(list_filter(range(1, len(w)), lambda i: w[i] = 'return' AND starts_with(w[i + 1], 'nul')))"}),
     "symbol_search": _symbol_sql("where is the vault token", 20),
     "symbol_search_name": _symbol_sql("mergeAlert", 10),
     "symbol_like": "SELECT id, name, CASE WHEN lower(name) = 'vault(' THEN 101 WHEN contains(lower(name), 'vault') THEN 51 ELSE 1 END AS score, length(content) AS size FROM symbols WHERE contains(lower(name), 'vault') OR contains(lower(content), 'vault') ORDER BY score DESC, size, id LIMIT 10",

@@ -33,8 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for lineage cuts.
 
-    The cluster's own setting wins. Only a session without one (tests, a laptop) gets a
-    temporary folder; a cluster must name a folder that all executors share.
+    The cluster's own setting wins. Only a local session without one (tests, a laptop) gets a
+    temporary folder; a cluster must name a folder that all executors share, or this fails.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,6 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), f"tessera-checkpoint-{os.getpid()}")
     sc.setCheckpointDir(named)
     return named
