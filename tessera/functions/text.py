@@ -206,6 +206,27 @@ def next_path(body: Column) -> Column:
     return F.when(body.rlike(r"→ \*\*Next path:\*\*\s*.+"), F.trim(F.regexp_extract(body, r"→ \*\*Next path:\*\*\s*(.+)", 1)))
 
 
+def legacy_command(body: Column) -> Column:
+    """The command that a failure's body names; null without one."""
+    return F.nullif(F.regexp_extract(body, r"(?m)^\*\*Command:\*\* `(.*)`$", 1), F.lit(""))
+
+
+def do_not_retry(body: Column) -> Column:
+    """The advice against another try in a failure's body; null without any."""
+    return F.nullif(F.trim(F.regexp_extract(body, r"(?m)^⚠️ \*\*Do NOT retry:\*\* (.+)$", 1)), F.lit(""))
+
+
+def percent_text(value: Column) -> Column:
+    """A share in percent with one decimal."""
+    return F.concat(F.format_string("%.1f", (value * 100).cast("double")), F.lit("%"))
+
+
+def signed_text(value: Column, suffix: str = "") -> Column:
+    """A number with its sign, one decimal unless it is whole; zero has no sign."""
+    number = F.when(value == F.floor(value), value.cast("long").cast("string")).otherwise(F.format_string("%.1f", value.cast("double")))
+    return F.concat(F.when(value > 0, "+").otherwise(""), number, F.lit(suffix))
+
+
 def bounded_int(value: Column, low: int, high: int, fallback: int) -> Column:
     """Whole number of a string or number within bounds; blank, unreadable and non-finite values give the fallback."""
     read = value.try_cast("double")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import signed_text
+
 
 def metrics(outcomes: DataFrame) -> DataFrame:
     """One row: tasks, completion, first_pass, repeated_rate, repeated, median_ms (of successes), mean_tokens."""
@@ -16,6 +18,17 @@ def metrics(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def latency(rows: DataFrame, by: str, ms: str) -> DataFrame:
+    """(by, n, min_ms, median_ms, max_ms): exact figures of the known latencies; a null name is a name of its own."""
+    return rows.where(F.col(ms).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(ms).alias("min_ms"), F.median(ms).alias("median_ms"), F.max(ms).alias("max_ms"))
+
+
+def report_lines(figures: DataFrame) -> DataFrame:
+    """(name, value) of deltas as people read them: shares in percentage points, the rest with a sign."""
+    pairs = [(n, signed_text(F.round(F.col(f"d_{n}") * 100, 1), " pp")) for n in ("completion", "first_pass", "repeated_rate")] + [(n, signed_text(F.round(F.col(f"d_{n}"), 1))) for n in ("repeated", "median_ms", "mean_tokens")]
+    return figures.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in pairs])).alias("x")).select("x.name", "x.value")
+
+
 def unpaired(baseline: DataFrame, treatment: DataFrame) -> DataFrame:
     """(task_id, missing_in) of the tasks that only one arm has."""
     a, b = baseline.select("task_id", F.lit(1).alias("a")), treatment.select("task_id", F.lit(1).alias("b"))

@@ -22,7 +22,9 @@ def guard_batch(events: DataFrame, keys: list[str], order: str, ok: str, retry:
     order is a whole number that orders a key's log. The log is cut into stretches of `width`
     numbers, so that a command that holds a third of all rows is spread over many tasks: a first
     pass finds where a stretch leads from each of the three states, these few rows are chained
-    for each key, and a second pass fills in the states from each stretch's own beginning.
+    for each key, and a second pass fills in the states from each stretch's own beginning. Chains
+    are built in three levels of at most a thousand links, as such maps can be put together, so
+    a command with a million stretches is no long array either.
     """
     names = [c for c in events.columns]
     marked = events.withColumn("_key", F.to_json(F.struct(*keys))).withColumn("_part", F.floor(F.col(order) / width))
@@ -44,15 +46,7 @@ def guard_batch(events: DataFrame, keys: list[str], order: str, ok: str, retry:
 
     spread = marked.select("_key", "_part", F.col(order).alias("_at"), "_good", "_force").repartition("_key", "_part").sortWithinPartitions("_key", "_part", "_at")
     leads = spread.select("_key", "_part", "_good", "_force").mapInPandas(ends, f"_key string, _part long, {', '.join(f'{s} string' for s in STATES)}")
-    chain = leads.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_part", *STATES))).alias("parts"))
-    none = F.expr("cast(array() as array<struct<_part:bigint,start:string,end:string>>)")
-
-    def link(acc: Column, part: Column) -> Column:
-        start = F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(CLEAN))
-        end = F.when(start == RECORDED, part[RECORDED]).when(start == BLOCKING, part[BLOCKING]).otherwise(part[CLEAN])
-        return F.concat(acc, F.array(F.struct(part["_part"].alias("_part"), start.alias("start"), end.alias("end"))))
-
-    starts = chain.select("_key", F.explode(F.aggregate("parts", none, link)).alias("p")).select("_key", "p._part", F.col("p.start").alias("_start"))
+    starts = _starts(leads, 2)
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = None, CLEAN
@@ -72,6 +66,55 @@ def guard_batch(events: DataFrame, keys: list[str], order: str, ok: str, retry:
     return started.mapInPandas(fill, schema)
 
 
+LINKS = 1000  # of one chain
+
+
+def _follow(state: Column, step: Column) -> Column:
+    """Where a stretch, or several put together, leads from a state."""
+    return F.when(state == RECORDED, step[RECORDED]).when(state == BLOCKING, step[BLOCKING]).otherwise(step[CLEAN])
+
+
+def _starts(leads: DataFrame, level: int) -> DataFrame:
+    """(_key, _part, _start) from leads(_key, _part, CLEAN, RECORDED, BLOCKING), the state that each part begins in."""
+    none = F.expr("cast(array() as array<struct<_part:bigint,start:string,end:string>>)")
+
+    def link(first: Column):  # noqa: ANN202
+        def step(acc: Column, part: Column) -> Column:
+            start = F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], first)
+            return F.concat(acc, F.array(F.struct(part["_part"].alias("_part"), start.alias("start"), _follow(start, part).alias("end"))))
+
+        return step
+
+    def begun(parts: DataFrame, first: Column) -> DataFrame:
+        return parts.select("_key", F.explode(F.aggregate("parts", none, link(first))).alias("p")).select("_key", "p._part", F.col("p.start").alias("_start"))
+
+    listed = F.sort_array(F.collect_list(F.struct("_part", *STATES))).alias("parts")
+    if not level:
+        return begun(leads.groupBy("_key").agg(listed), F.lit(CLEAN))
+    groups = leads.groupBy("_key", F.floor(F.col("_part") / LINKS).alias("_group")).agg(listed)
+    whole = [F.aggregate("parts", F.lit(s), _follow).alias(s) for s in STATES]
+    above = _starts(groups.select("_key", F.col("_group").alias("_part"), *whole), level - 1)
+    return begun(groups.join(above.withColumnRenamed("_part", "_group"), ["_key", "_group"]), F.col("_start"))
+
+
+def settled_records(events: DataFrame, keys: list[str], order: str, symptom: str, guarded: DataFrame) -> DataFrame:
+    """(keys, symptom, n, last, status) of the failures that were run: unresolved until the command next succeeds.
+
+    guarded is guard_batch of the events; attempts it refused weren't run and count neither way.
+    One record for each command and symptom, as failures are recorded.
+    """
+    ran = guarded.where("not refused")
+    good = F.coalesce("ok", F.lit(False))
+    solved = ran.where(good).groupBy(*keys).agg(F.max(order).alias("solved"))
+    failed = ran.where(~good).groupBy(*keys, symptom).agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("last"))
+    same = failed
+    for k in keys:
+        solved = solved.withColumnRenamed(k, f"_{k}")
+    joined = same.join(solved, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+    status = F.when(F.col("solved") > F.col("last"), "resolved").otherwise("unresolved")
+    return joined.select(*keys, symptom, "n", "last", status.alias("status"))
+
+
 def next_state(state: str, ok: bool | None, retry: bool | None) -> tuple[str, bool]:
     """(state after, refused) of one attempt."""
     if state == BLOCKING and not retry:

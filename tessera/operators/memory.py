@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import has_keyword, slugify, trim_all
+from tessera.functions.text import collection_for, has_keyword, memory_id, slugify, trim_all
 
 
 def upsert_latest(versions: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -28,8 +28,8 @@ def assign_ids(memories: DataFrame, scope: str = "scope", title: str = "title",
 
 
 def invalidate(memories: DataFrame, ids: DataFrame) -> DataFrame:
-    """memories with those named in ids(id, reason) marked, the reason appended to their body."""
-    marked = memories.join(ids.select("id", "reason").dropDuplicates(["id"]), "id", "left")
+    """memories with those named in ids(id, reason) marked, the reason appended to their body; of several the least counts."""
+    marked = memories.join(ids.where("id is not null").groupBy("id").agg(F.min("reason").alias("reason")), "id", "left")
     hit = F.col("reason").isNotNull()
     body = F.when(hit, F.concat(F.coalesce("body", F.lit("")), F.lit("\n\n> Invalidated: "), "reason")).otherwise(F.col("body"))
     return marked.withColumn("body", body).withColumn("invalidated", F.when(hit, True).otherwise(F.col("invalidated"))).select(*memories.columns)
@@ -45,6 +45,71 @@ def active(memories: DataFrame) -> DataFrame:
     return memories.where(~F.coalesce("invalidated", F.lit(False)))
 
 
+def get_memory(memories: DataFrame, id: str) -> DataFrame:
+    """The rows of one memory; each name between slashes of the id is read as a slug."""
+    return memories.where(F.col("id") == memory_id(F.lit(id)))
+
+
+def find_by_title(memories: DataFrame, scope: str, title: str) -> DataFrame:
+    """The rows of a scope with exactly this title, invalidated ones included."""
+    return memories.where((slugify(F.coalesce("scope", F.lit("general")), "general") == slugify(F.lit(scope), "general")) & (F.col("title") == title))
+
+
+def list_memories(memories: DataFrame, scope: str | None = None, collection: str | None = None, include_invalidated: bool = False) -> DataFrame:
+    """Memories of a scope and a collection, compared as slugs; invalidated ones only if asked for."""
+    rows = memories if include_invalidated else active(memories)
+    if scope is not None:
+        rows = rows.where(slugify(F.coalesce("scope", F.lit("general")), "general") == slugify(F.lit(scope), "general"))
+    if collection is not None:
+        rows = rows.where(slugify(F.coalesce("collection", F.lit("")), "") == slugify(F.lit(collection), ""))
+    return rows
+
+
+def imported_docs(docs: DataFrame, existing: DataFrame, scope: str | None = None) -> DataFrame:
+    """(rev_id, id, collection, verdict) of documents to import: write, replace, or clash if the id belongs to another title.
+
+    The id is the scope's slug and the slug of the document's own last name; a missing collection
+    follows from the type. A clash stops an import, so callers look for clashes before they write.
+    """
+    room = slugify(F.coalesce(F.lit(scope) if scope else F.col("scope"), F.lit("general")), "general")
+    kept = docs.where("id is not null").select("rev_id", "title", "type", "collection", F.concat(room, F.lit("/"), slugify(F.substring_index("id", "/", -1))).alias("id"))
+    have = existing.groupBy("id").agg(F.min("title").alias("first"), F.max("title").alias("last"))
+    joined = kept.join(have, "id", "left")
+    verdict = F.when(F.col("first").isNull(), "write").when((F.col("first") == F.col("title")) & (F.col("last") == F.col("title")), "replace").otherwise("clash")
+    return joined.select("rev_id", "id", slugify(F.coalesce("collection", F.lit("")), collection_for(F.col("type"))).alias("collection"), verdict.alias("verdict"))
+
+
+def scope_index(memories: DataFrame) -> DataFrame:
+    """(scope, place, line): the lines of each scope's index, by id, invalidated memories included.
+
+    Places are counted inside a scope; written with the scope as a partition they are its index file.
+    """
+    rows = memories.where("id is not null").select(F.coalesce("scope", F.lit("general")).alias("scope"), "id", F.concat(F.lit("* ["), F.coalesce("title", F.lit("")), F.lit("](./"), F.substring_index("id", "/", -1), F.lit(".md) - "), F.coalesce("description", F.lit(""))).alias("line"))
+    return rows.select("scope", "id", "line").distinct()
+
+
+def log_lines(changes: DataFrame) -> DataFrame:
+    """(at, line) of an append-only log from changes(at, action, id, title)."""
+    return changes.select("at", F.concat(F.lit("* **"), "action", F.lit("**: "), "title", F.lit(" (`"), "id", F.lit("`)")).alias("line"))
+
+
+def manifest(memories: DataFrame, at: str = "ts") -> DataFrame:
+    """One row: how many memories there are, invalidated ones included, and when the last one changed."""
+    return memories.agg(F.count(F.lit(1)).alias("n"), F.max(at).alias("latest"))
+
+
+def tree_counts(tree: DataFrame) -> DataFrame:
+    """(wing, n_rooms, n_files) of an exported tree(wing, room, file)."""
+    return tree.groupBy("wing").agg(F.countDistinct("room").alias("n_rooms"), F.count(F.lit(1)).alias("n_files"))
+
+
+def failure_body(failures: DataFrame) -> Column:
+    """The body of a failure's record: command, status, advice and next path, each on a line of its own if it is known."""
+    return F.concat_ws(
+        "\n\n", F.concat(F.lit("**Command:** `"), "command", F.lit("`")), F.concat(F.lit("**Status:** "), "status"), F.concat(F.lit("⚠️ **Do NOT retry:** "), "do_not_retry"), F.concat(F.lit("→ **Next path:** "), "next_path"),
+    )
+
+
 def status(memories: DataFrame) -> DataFrame:
     """(scope, collection, n) with subtotals: a null collection row totals its scope, a null scope row everything."""
     named = active(memories).select(F.coalesce("scope", F.lit("general")).alias("scope"), F.coalesce("collection", F.lit("general")).alias("collection"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.cut import Cutter
 from tessera.sources import extract, tree
-from tessera.sources.store import VersionedTable, mark_indexed, replace_files
+from tessera.sources.store import BucketedTable
 
 
 def index_tree(spark: SparkSession, root: str, store: str, ignored: tuple[str, ...] = ()) -> dict[str, int]:
@@ -16,14 +16,14 @@ def index_tree(spark: SparkSession, root: str, store: str, ignored: tuple[str, .
     Files whose size and time are as before aren't opened. A file that can't be parsed keeps its
     last good symbols, isn't marked and is tried again next time. Files that are gone are purged.
     """
-    symbols, state = VersionedTable(spark, f"{store}/symbols"), VersionedTable(spark, f"{store}/files")
+    symbols, state = BucketedTable(spark, f"{store}/symbols"), BucketedTable(spark, f"{store}/files")
     known = state.read()
     files = tree.list_files(spark, root, ignored)
     if known is not None:
         seen = known.select("file_path", F.col("size").alias("s0"), F.col("mtime_ms").alias("m0"))
         stat = files.drop("content").join(seen, "file_path", "left")
         touched = stat.where("s0 is null or not (s0 = size and m0 = mtime_ms)").select("file_path")
-        gone = known.join(files.select("file_path"), "file_path", "left_anti").select("file_path")
+        gone = Cutter(spark, "gone").cut(known.join(files.select("file_path"), "file_path", "left_anti").select("file_path"))
     else:
         touched, gone = files.select("file_path"), None
     cutter = Cutter(spark, "index")
@@ -38,9 +38,10 @@ def index_tree(spark: SparkSession, root: str, store: str, ignored: tuple[str, .
     marked = cutter.cut(done.join(counts, "file_path", "left").select("file_path", "content_hash", "size", "mtime_ms", F.coalesce("symbol_count", F.lit(0)).alias("symbol_count"), F.current_timestamp().alias("indexed_at")))
     n_done, n_failed = marked.count(), failed.count()
     if n_done or n_gone or known is None:
-        empty = marked.select("file_path").join(fresh.select("file_path"), "file_path", "left_anti")  # files that have lost all symbols
-        drop = empty if gone is None else empty.unionByName(gone)
-        symbols.write(replace_files(symbols.read(), fresh, drop))
-        left = known.join(gone, "file_path", "left_anti").select(*marked.columns) if known is not None else None
-        state.write(mark_indexed(left, marked))
+        touched = marked.select("file_path")
+        touched = touched if gone is None else touched.unionByName(gone)
+        symbols.replace(fresh.where("error is null").drop("error"), touched)
+        state.replace(marked, touched)
+        for t in (symbols, state):
+            t.expire()
     return {"indexed": n_done, "failed": n_failed, "purged": n_gone}

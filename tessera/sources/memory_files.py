@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +21,29 @@ def read_memories(spark: SparkSession, root: str) -> DataFrame:
     return parse_front_matter(files, "id")
 
 
-def write_memories(memories: DataFrame, root: str) -> None:
-    """One text file for each memory, below its scope; for exports of bounded size, as each is a file of its own."""
-    docs = front_matter(memories).join(memories.select("rev_id", "id"), "rev_id").select("id", "document")
-    docs.write.partitionBy("id").text(root)
+def write_memories(memories: DataFrame, root: str) -> int:
+    """One Markdown file <id>.md for each memory below root, as read_memories reads them; their number.
+
+    For exports of bounded size, as each memory is a file of its own. Files are written by the
+    executors, each whole under another name first and then renamed; an id that isn't a plain path
+    below root is refused.
+    """
+    docs = front_matter(memories).join(memories.select("rev_id", "id"), "rev_id").where(F.col("id").rlike(r"^[a-z0-9-]+(?:/[a-z0-9-]+)*$")).select("id", "document")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        for pdf in batches:
+            for id_, document in zip(pdf["id"], pdf["document"]):
+                place = f"{base.rstrip('/')}/{id_}.md"
+                files.create_dir(place.rpartition("/")[0], recursive=True)
+                with files.open_output_stream(f"{place}.part") as out:
+                    out.write(document.encode())
+                files.move(f"{place}.part", place)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return docs.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def export_tree(memories: DataFrame) -> DataFrame:
@@ -32,6 +54,12 @@ def export_tree(memories: DataFrame) -> DataFrame:
     return place.join(front_matter(rows), "rev_id").select("wing", "room", "file", "document")
 
 
+def unreadable(tree: DataFrame) -> DataFrame:
+    """One row: how many documents of a tree(path, document) have no readable front matter and are left out."""
+    good = F.col("document").rlike(r"(?s)^---\r?\n(?:.*\n)?type:[ \t]*\S.*?\r?\n---")
+    return tree.agg(F.count_if(~F.coalesce(good, F.lit(False))).alias("n_unreadable"))
+
+
 def import_tree(tree: DataFrame) -> DataFrame:
     """Memories of a tree (path, document): the wing is the scope, the room the collection if the document names none and the path has one."""
     parts = F.split(F.col("path"), "/")
@@ -41,14 +69,24 @@ def import_tree(tree: DataFrame) -> DataFrame:
     return parsed.withColumn("collection", F.coalesce("collection", "room")).withColumn("scope", F.coalesce("wing", "scope")).drop("room", "wing")
 
 
-def session_sections(memories: DataFrame, failures: DataFrame, max_memories: int = 15, max_open: int = 10, max_resolved: int = 5) -> DataFrame:
-    """(section, place, title, body) of a session's hand-over: newest memories, open failures, resolved failures."""
+def session_sections(memories: DataFrame, failures: DataFrame, max_memories: int = 15, max_open: int = 10, max_resolved: int = 5, markers: DataFrame | None = None, dirty: DataFrame | None = None, max_markers: int = 10, max_dirty: int = 20) -> DataFrame:
+    """(section, rev_id, title, body) of a session's hand-over: newest memories, open and resolved failures, debt markers, changed files.
+
+    markers is (id, line_no, comment), dirty is (file_path, status); either may be left out.
+    """
     m = active(memories).orderBy(F.desc_nulls_last("ts"), F.desc("rev_id")).limit(max_memories).select(F.lit("memories").alias("section"), "rev_id", "title", "body")
     parts = [m]
     for status, limit in (("unresolved", max_open), ("resolved", max_resolved)):
         f = failures.where(F.col("status") == status).orderBy(F.desc("failure_id")).limit(limit)
         parts.append(f.select(F.lit(status).alias("section"), F.col("failure_id").alias("rev_id"), F.substring("command", 1, 80).alias("title"), F.coalesce("next_path", "symptom").alias("body")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    if markers is not None:
+        parts.append(markers.orderBy("id", "line_no").limit(max_markers).select(F.lit("markers").alias("section"), F.col("id").cast("long").alias("rev_id"), F.substring("comment", 1, 80).alias("title"), F.col("line_no").cast("string").alias("body")))
+    if dirty is not None:
+        parts.append(dirty.orderBy("file_path").limit(max_dirty).select(F.lit("dirty").alias("section"), F.lit(None).cast("long").alias("rev_id"), F.col("file_path").alias("title"), F.col("status").alias("body")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def parse_session(texts: DataFrame, key: str, text: str) -> DataFrame:

@@ -7,7 +7,7 @@ from tessera.operators import budget, diff, evaluate, failures, memory
 from tessera.sources import extract, markers, memory_files, tree
 from tessera.sources.index import index_tree
 from tessera.sources.provider import provider_source
-from tessera.sources.store import VersionedTable, replace_files
+from tessera.sources.store import BucketedTable, VersionedTable, replace_files
 from tessera.streaming import guard, watcher
 
 M = "rev_id long, id string, type string, title string, description string, tags array<string>, scope string, collection string, ts timestamp, source string, supersedes string, invalidated boolean, body string"
@@ -165,12 +165,19 @@ def test_index_and_watch(spark, tmp_path):
     (root / "a.py").write_text("def a2():\n    return 1\n")
     (root / "bad.py").write_bytes(b"\xff\xfe\x00bad")
     assert index_tree(spark, str(root), str(store)) == {"indexed": 1, "failed": 1, "purged": 1}
-    assert [r["name"] for r in VersionedTable(spark, f"{store}/symbols").read().collect()] == ["a2"]
+    assert [r["name"] for r in BucketedTable(spark, f"{store}/symbols").read().collect()] == ["a2"]
     live = tmp_path / "live"
     q = watcher.watch(spark, str(root), str(live), str(tmp_path / "cp"), once=True)
     q.awaitTermination(120)
-    assert {r["name"] for r in VersionedTable(spark, f"{live}/symbols").read().collect()} == {"a2"}
+    assert {r["name"] for r in BucketedTable(spark, f"{live}/symbols").read().collect()} == {"a2"}
     assert not watcher.progress(q)["active"]
+    (root / "a.py").write_text("x = 1\n")  # a file that has lost its symbols loses its rows
+    (root / "d.py").write_text("def d():\n    pass\n")
+    watcher.watch(spark, str(root), str(live), str(tmp_path / "cp"), once=True).awaitTermination(120)
+    assert {r["name"] for r in BucketedTable(spark, f"{live}/symbols").read().collect()} <= {"a2", "d"}
+    watcher.watch(spark, str(root), str(tmp_path / "live2"), str(tmp_path / "cp2"), once=True).awaitTermination(120)
+    assert {r["name"] for r in BucketedTable(spark, f"{tmp_path}/live2/symbols").read().collect()} == {"d"}
+    assert {r["file_path"]: r["symbol_count"] for r in BucketedTable(spark, f"{tmp_path}/live2/files").read().collect()} == {"a.py": 0, "d.py": 1}
     (root / "a.py").unlink()
     assert watcher.reconcile(spark, str(root), str(live)) == 1
 
@@ -197,3 +204,69 @@ def test_provider(spark):
     assert spark.read.format("stub").option("query", "q" * 300).option("limit", "2").load().collect() == [("q" * 250, "w", "r", "f", 0.5)] * 2
     with pytest.raises(Exception, match="the provider failed"):
         spark.read.format("stub").option("query", "down").load().collect()
+
+
+def test_buckets_are_rewritten_alone(spark, tmp_path):
+    t = BucketedTable(spark, str(tmp_path / "t"), 4)
+    assert t.read() is None
+    df = lambda rows: spark.createDataFrame(rows, "file_path string, name string")
+    first = df([(f"f{k}", f"n{k}") for k in range(20)])
+    assert t.replace(first, first) == [0, 1, 2, 3]
+    touched = t.replace(df([("f3", "new"), ("f3", "more")]), df([("f3", None)]))
+    assert len(touched) == 1
+    got = {(r["file_path"], r["name"]) for r in t.read().collect()}
+    assert len(got) == 21 and {("f3", "new"), ("f3", "more")} <= got and ("f3", "n3") not in got
+    t.replace(df([]), first)
+    assert t.read().count() == 0 and t.expire(1) >= 1 and t.read().count() == 0
+
+
+def test_versions_expire(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "v"))
+    for k in range(4):
+        t.write(spark.range(k + 1))
+    assert t.expire(1) == 3 and t.read().count() == 4
+
+
+def test_memories_written_can_be_read(spark, tmp_path):
+    rows = mem(spark, [{"id": "proj-a/one", "title": "One", "scope": "proj-a", "body": "b"}, {"id": "../x", "title": "No", "body": "b"}, {"id": "general/two", "title": "Two é", "body": ""}])
+    assert memory_files.write_memories(rows, str(tmp_path / "m")) == 2
+    back = memory_files.read_memories(spark, str(tmp_path / "m")).collect()
+    assert {(r["id"], r["title"]) for r in back} == {("proj-a/one", "One"), ("general/two", "Two é")}
+
+
+def test_memory_lookups(spark):
+    rows = mem(spark, [{"id": "proj-a/one", "title": "One", "scope": "Proj A", "collection": "Big Ones"}, {"id": "proj-a/two", "title": "Two", "scope": "Proj A", "invalidated": True}])
+    assert memory.get_memory(rows, "Proj A/One").count() == 1
+    assert memory.find_by_title(rows, "proj a", "Two").count() == 1 and memory.find_by_title(rows, "proj a", "two").count() == 0
+    assert memory.list_memories(rows, "proj-a").count() == 1 and memory.list_memories(rows, "proj-a", include_invalidated=True).count() == 2
+    assert memory.list_memories(rows, collection="big-ones").count() == 1
+    verdicts = memory.imported_docs(mem(spark, [{"id": "x/one", "title": "Other", "scope": "proj-a"}, {"id": "x/two", "title": "Two", "scope": "proj-a"}, {"id": "x/new", "title": "New", "scope": "proj-a", "type": "Decision"}]), rows)
+    assert {(r["id"], r["verdict"], r["collection"]) for r in verdicts.collect()} == {("proj-a/one", "clash", "general"), ("proj-a/two", "replace", "general"), ("proj-a/new", "write", "decisions")}
+    assert memory.manifest(rows).first()["n"] == 2 and memory.scope_index(rows).count() == 2
+
+
+def test_long_logs_are_chained_in_levels(spark):
+    import random
+
+    from tessera.operators import failures
+
+    rng = random.Random(4)
+    rows = [(k * 3, "s", "c" if k % 3 else "d", rng.random() < 0.3, rng.random() < 0.1) for k in range(3000)]
+    df = spark.createDataFrame(rows, "failure_id long, scope string, command string, ok boolean, retry boolean")
+    got = {r["failure_id"]: (r["state_before"], r["state_after"], r["refused"]) for r in failures.guard_batch(df, ["scope", "command"], "failure_id", "ok", "retry", 7).collect()}
+    state = {}
+    for i, s, c, ok, retry in rows:
+        before = state.get((s, c), "CLEAN")
+        after, refused = failures.next_state(before, ok, retry)
+        assert got[i] == (before, after, refused)
+        state[s, c] = after
+
+
+def test_failure_is_settled_by_a_later_success(spark):
+    from tessera.operators import failures
+
+    rows = [(1, None, "a", "x", False, False), (2, None, "a", "y", False, False), (3, None, "a", None, True, False), (4, None, "a", None, True, True), (5, None, "b", "z", False, False), (6, None, "a", "x", False, False)]
+    df = spark.createDataFrame(rows, "failure_id long, scope string, command string, symptom string, ok boolean, retry boolean")
+    guarded = failures.guard_batch(df, ["scope", "command"], "failure_id", "ok", "retry", 2)
+    got = {(r["command"], r["symptom"]): (r["n"], r["status"]) for r in failures.settled_records(df, ["scope", "command"], "failure_id", "symptom", guarded).collect()}
+    assert got == {("a", "x"): (2, "unresolved"), ("a", "y"): (1, "resolved"), ("b", "z"): (1, "unresolved")}
