@@ -6,30 +6,84 @@ removal is recorded with the node it hangs on after the round and its distance t
 the rounds gives roots, depths and paths. Trees of any depth need a logarithmic number of
 rounds. What never contracts is a node that has become its own parent: a cycle, whose smallest
 member travelled along with the bypassed nodes.
+
+The rounds run over the whole cluster until what is left is at most LAST nodes; a single task
+contracts those in the same way, as a round costs the same however few nodes it moves.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from zlib import crc32
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.cut import Cutter
 
-MAX_ROUNDS = 500
+LAST = 20_000  # nodes that one task contracts
+
+
+def contract(rows: list[tuple]) -> list[tuple]:
+    """(node, root, depth, path) of (node, parent, w, low, seg), contracted and expanded again in memory."""
+    parent = {n: p for n, p, _, _, _ in rows}
+    weight = {n: w for n, _, w, _, _ in rows}
+    low = {n: m for n, _, _, m, _ in rows}
+    seg = {n: list(s) for n, _, _, _, s in rows}
+    removed: list[tuple] = []
+    number = 0
+    while True:
+        kids: dict = {}
+        for n, p in parent.items():
+            if p is not None and p != n:
+                kids.setdefault(p, []).append(n)
+        rank = {n: crc32(f"{number}/{n}".encode()) for n in parent}
+        movable = [n for n, p in parent.items() if p is not None and p != n]
+        raked = [n for n in movable if n not in kids]
+        bypassed = [n for n in movable if len(kids.get(n, ())) == 1 and rank[n] > rank[kids[n][0]] and rank[n] > rank[parent[n]]]
+        if not raked and not bypassed:
+            if not movable:
+                break
+            number += 1
+            continue
+        # a node's place is recorded as it is after the round, as its parent may be bypassed in it too
+        out = {n: (parent[n], weight[n], seg[n]) for n in [*raked, *bypassed]}
+        changes = []
+        for n in bypassed:
+            c = kids[n][0]
+            changes.append((c, parent[n], weight[c] + weight[n], min(low[c], low[n], n), seg[n] + [n] + seg[c]))
+        for c, p, w, m, s in changes:
+            parent[c], weight[c], low[c], seg[c] = p, w, m, s
+            if c in out:
+                out[c] = (p, w, s)
+        for n, (p, w, s) in out.items():
+            removed.append((number, n, p, w, s))
+            del parent[n]
+        number += 1
+    done: dict = {}
+    for n, p in parent.items():
+        done[n] = (n, 0, [n]) if p is None else (low[n], -1, None)
+    for _, n, p, w, s in reversed(removed):
+        root, depth, path = done[p]
+        done[n] = (root, depth + w if depth >= 0 else -1, path + s + [n] if path is not None else None)
+    return [(n, *v) for n, v in done.items()]
 
 
-def resolve_hierarchy(rows: DataFrame, node: str, parent: str, paths: bool = False) -> DataFrame:
+def resolve_hierarchy(rows: DataFrame, node: str, parent: str, paths: bool = False, last: int = LAST) -> DataFrame:
     """(node_id, root_id, depth[, path]) of every distinct non-null node.
 
     A root has depth 0 and itself as root_id; so has a node whose parent is null or names no
     node. On and below a cycle, a node that is its own parent included, depth is -1, root_id the
     smallest id on that cycle and path null. path is the array of ids from the root to the node.
     If a node comes with several parents, the smallest non-null one counts. Other columns of
-    rows are ignored. An empty table gives an empty result.
+    rows are ignored. An empty table gives an empty result. last is how many nodes one task may
+    contract at the end.
 
     Each round is a few equi-joins on unique keys and one pre-aggregated count of children, so a
     parent with a third of all rows as children is counted map-side. The active rows shrink
-    geometrically. Round tables are written to the shared checkpoint folder.
+    geometrically. Round tables are written to the shared checkpoint folder and deleted when
+    their reversal is written.
     """
     spark = rows.sparkSession
     cutter = Cutter(spark, "hierarchy")
@@ -45,7 +99,8 @@ def resolve_hierarchy(rows: DataFrame, node: str, parent: str, paths: bool = Fal
 
     rounds: list[DataFrame] = []
     source = cutter.cut(active)
-    while True:
+    size = source.count()
+    while size > last:
         k = len(rounds)
         kids = source.where("parent is not null and parent <> node").groupBy("parent").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("child"))
         state = source.join(kids.withColumnRenamed("parent", "of"), F.col("node") == F.col("of"), "left").drop("of")
@@ -62,24 +117,41 @@ def resolve_hierarchy(rows: DataFrame, node: str, parent: str, paths: bool = Fal
             *([F.coalesce(F.concat("pseg", "seg"), "seg").alias("seg")] if paths else []), "action",
         )
         after = cutter.cut(after)
-        cutter.release(source)
+        if not rounds:
+            cutter.release(source)
         rounds.append(after)
-        if after.where("action <> 'keep'").isEmpty():
-            break
-        if len(rounds) >= MAX_ROUNDS:
-            raise RuntimeError(f"the hierarchy did not contract within {MAX_ROUNDS} rounds")
         source = after.where("action = 'keep'").drop("action")
+        left = source.agg(F.count(F.lit(1)).alias("n"), F.count_if(movable).alias("movable")).first()
+        size = left["n"]
+        if not left["movable"]:
+            break
+
+    if size <= last:
+
+        def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows = []
+            for pdf in batches:
+                segs = pdf["seg"] if paths else [()] * len(pdf)
+                rows += [(n, None if pd.isna(p) else p, int(w), m, s) for n, p, w, m, s in zip(pdf["node"], pdf["parent"].astype(object), pdf["w"], pdf["low"], segs)]
+            out = pd.DataFrame(contract(rows), columns=["node", "root", "depth", "path"])
+            yield out if paths else out.drop(columns="path")
 
-    looped = F.col("parent").isNotNull()
-    core = rounds[-1].select("node", F.when(looped, F.col("low")).otherwise(F.col("node")).alias("root"), F.when(looped, -1).otherwise(0).cast("long").alias("depth"), *([F.when(~looped, F.array("node")).alias("path")] if paths else []))
-    resolved = core
-    for n, after in enumerate(reversed(rounds[:-1])):
+        resolved = source.coalesce(1).mapInPandas(finish, f"node {kind}, root {kind}, depth long" + (f", path array<{kind}>" if paths else ""))
+    else:
+        looped = F.col("parent").isNotNull()
+        resolved = source.select("node", F.when(looped, F.col("low")).otherwise(F.col("node")).alias("root"), F.when(looped, -1).otherwise(0).cast("long").alias("depth"), *([F.when(~looped, F.array("node")).alias("path")] if paths else []))
+    before = None
+    for n, after in enumerate(reversed(rounds)):
+        if n:
+            known = cutter.cut(resolved)  # what it was made of isn't read again
+            cutter.release(rounds[len(rounds) - n])
+            if before is not None:
+                cutter.release(before)
+            resolved = before = known
         target = resolved.select(F.col("node").alias("t"), "root", "depth", *(["path"] if paths else []))
         removed = after.where("action <> 'keep'").join(target, F.col("parent") == F.col("t"))
         back = removed.select("node", "root", F.when(F.col("depth") < 0, F.col("depth")).otherwise(F.col("depth") + F.col("w")).alias("depth"), *([F.concat("path", "seg", F.array("node")).alias("path")] if paths else []))
         resolved = resolved.unionByName(back)
-        if n < len(rounds) - 2:
-            resolved = cutter.cut(resolved)
     return resolved.select(F.col("node").alias("node_id"), F.col("root").alias("root_id"), "depth", *(["path"] if paths else []))
 
 
