@@ -140,6 +140,11 @@ def redact(text: Column, roots: tuple[str, ...] = ()) -> Column:
     return F.regexp_replace(out, f"(?i){KEY_VALUES}", "$1[REDACTED]")
 
 
+def cap_text(text: Column, limit: int = 100_000) -> Column:
+    """A text cut to a number of characters, with a line that says how many are left out."""
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.left(text, F.lit(limit)), F.lit("\n… "), (F.length(text) - limit).cast("string"), F.lit(" more characters truncated")))
+
+
 def has_keyword(line: Column, keywords: str = KEYWORDS) -> Column:
     return line.rlike(ascii_word(f"(?i:{keywords})"))
 

@@ -53,18 +53,19 @@ def parse_name_status(raw: str) -> list[tuple[str, str, str | None]]:
     return out
 
 
-def git_log(logs: DataFrame, text: str, max_lines: int = 20) -> DataFrame:
-    """(hash, date, author, message, diff) of log texts with records 'commit', 'Author:', 'Date:', a message and a patch.
+def git_log(logs: DataFrame, text: str, max_lines: int = 20, keep: str | None = None) -> DataFrame:
+    """([keep,] hash, date, author, message, diff) of log texts with records 'commit', 'Author:', 'Date:', a message and a patch.
 
     Of a patch only lines that begin with +, - or @ are kept, at most max_lines.
     """
     record = F.explode(F.filter(F.split(F.col(text), r"(?m)^(?=commit [0-9a-f]{7,40}\b)"), lambda r: r.startswith("commit ")))
-    one = logs.select(record.alias("r"))
+    kept_column = [F.col(keep)] if keep else []
+    one = logs.select(*kept_column, record.alias("r"))
     lines = F.split("r", "\n")
     message = F.array_join(F.transform(F.filter(lines, lambda x: x.startswith("    ")), lambda x: F.trim(x)), "\n")
     kept = F.filter(lines, lambda x: x.rlike(r"^[+\-@]") & ~x.rlike(r"^(?:\+\+\+|---) "))
     return one.select(
-        F.regexp_extract("r", r"^commit ([0-9a-f]+)", 1).alias("hash"), F.trim(F.regexp_extract("r", r"(?m)^Date:\s*(.*)$", 1)).alias("date"),
+        *kept_column, F.regexp_extract("r", r"^commit ([0-9a-f]+)", 1).alias("hash"), F.trim(F.regexp_extract("r", r"(?m)^Date:\s*(.*)$", 1)).alias("date"),
         F.trim(F.regexp_extract("r", r"(?m)^Author:\s*(.*)$", 1)).alias("author"), message.alias("message"), F.array_join(F.slice(kept, 1, max_lines), "\n").alias("diff"),
     )
 
@@ -146,17 +147,66 @@ def mentions_of_paths(texts: DataFrame, key: str, text: str, paths: DataFrame) -
     return tails.join(paths.select(F.col("file_path").alias("path")).distinct(), "path", "left_semi").groupBy("path").agg(F.count(F.lit(1)).alias("n"))
 
 
-def review_pack(changed_files: DataFrame, symbols: DataFrame, ranges: DataFrame, edges: DataFrame, associations: DataFrame, max_files: int = 20) -> DataFrame:
-    """(file_path, n_symbols, n_untested, n_callers) of the first changed files, by path; files without changed symbols count 0."""
-    first = changed_files.select("file_path").distinct().orderBy("file_path").limit(max_files)
-    hit = changed_symbols(symbols, ranges.join(first, "file_path", "left_semi"))
+def review_pack(
+    changed_files: DataFrame, symbols: DataFrame, ranges: DataFrame, edges: DataFrame, associations: DataFrame, max_files: int = 20, debts: DataFrame | None = None, mentions: DataFrame | None = None
+) -> DataFrame:
+    """(file_path, status, n_symbols, n_untested, n_callers, n_debts, n_failures, n_touched, truncated) of the first changed files, by path.
+
+    changed_files is (file_path) or (file_path, status). Files without changed symbols count 0, a
+    deleted file (status D) has none. debts is (file_path) of debt markers, mentions (path, n) of
+    failures that name a path. n_touched counts all changed files, truncated says that some are left out.
+    """
+    files = changed_files.select("file_path", (F.col("status") if "status" in changed_files.columns else F.lit("M")).alias("status")).groupBy("file_path").agg(F.max("status").alias("status"))
+    total = files.agg(F.count(F.lit(1)).alias("n_touched"))
+    first = files.orderBy("file_path").limit(max_files)
+    live = first.where(~F.col("status").startswith("D"))
+    hit = changed_symbols(symbols, ranges.join(live, "file_path", "left_semi"))
     node = F.concat_ws(":", F.lit("symbol"), "file_path", "name", F.coalesce(F.col("start_line").cast("string"), F.lit("0")))
     hit = hit.select("file_path", "name", "start_line").distinct().withColumn("node", node)
     bare = untested(hit, associations).groupBy("file_path").agg(F.count(F.lit(1)).alias("n_untested"))
     calls = hit.join(callers(hit, edges), "node").groupBy("file_path").agg(F.sum("n_callers").alias("n_callers"))
     n = hit.groupBy("file_path").agg(F.count(F.lit(1)).alias("n_symbols"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return first.join(n, "file_path", "left").join(bare, "file_path", "left").join(calls, "file_path", "left").select("file_path", zero("n_symbols"), zero("n_untested"), zero("n_callers"))
+    spark = symbols.sparkSession
+    debt = debts.groupBy("file_path").agg(F.count(F.lit(1)).alias("n_debts")) if debts is not None else spark.createDataFrame([], "file_path string, n_debts long")
+    said = mentions.select(F.col("path").alias("file_path"), F.col("n").alias("n_failures")) if mentions is not None else spark.createDataFrame([], "file_path string, n_failures long")
+    out = first
+    for part in (n, bare, calls, debt, said):
+        out = out.join(part, "file_path", "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_symbols", "n_untested", "n_callers", "n_debts", "n_failures")]
+    return out.join(F.broadcast(total)).select("file_path", "status", *counts, "n_touched", (F.col("n_touched") > max_files).alias("truncated"))
+
+
+def risks(pack: DataFrame) -> DataFrame:
+    """(file_path, risk) of a review pack: open debt, changed symbols without a test, failures that name the file."""
+    told = F.filter(
+        F.array(
+            F.when(F.col("n_debts") > 0, "has open debt markers"), F.when((F.col("n_untested") > 0) & ~is_test_file(F.col("file_path")), F.concat(F.col("n_untested").cast("string"), F.lit(" changed symbol(s) have no matching test"))),
+            F.when(F.col("n_failures") > 0, F.concat(F.col("n_failures").cast("string"), F.lit(" past failure record(s) mention this file"))),
+        ), lambda x: x.isNotNull(),
+    )
+    return pack.select("file_path", F.explode(told).alias("risk"))
+
+
+def marker_heat(markers: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, n): how many markers(file_path) stand in each node's file; a marker's path may be the tail of the node's."""
+    parts = F.split(F.regexp_replace("file_path", r"^\./", ""), "/")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    counted = markers.where("file_path is not null").groupBy(F.regexp_replace("file_path", r"^\./", "").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    return nodes.where("file_path is not null").select("node", F.explode(F.array_distinct(tails)).alias("path")).join(counted, "path").groupBy("node").agg(F.sum("n").alias("n"))
+
+
+def failure_heat(texts: DataFrame, key: str, text: str, nodes: DataFrame) -> DataFrame:
+    """(node, n): how many texts name each node's file by its last name."""
+    base = F.element_at(F.split("file_path", "/"), -1)
+    files = nodes.where("file_path is not null").select("node", base.alias("path"))
+    counted = mentions_of_paths(texts, key, text, files.select(F.col("path").alias("file_path")))
+    return files.join(counted, "path").select("node", "n")
+
+
+def impact_tests(affected: DataFrame, associations: DataFrame) -> DataFrame:
+    """(test_file) of all tests of the affected(name, file_path), in order."""
+    have = associations.select(F.col("symbol_name").alias("name"), F.col("source_file").alias("file_path"), "test_file")
+    return have.join(affected.select("name", "file_path").distinct(), ["name", "file_path"], "left_semi").select("test_file").distinct().orderBy("test_file")
 
 
 def inject_block(text: Column, block: Column, name: str = "handoff") -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.inverted import InvertedIndex
 from tessera.plans.cut import Cutter
 
 # What is tried, in this order, to find the file of an import.
@@ -229,3 +230,123 @@ def match_nodes(nodes: DataFrame, query: str, limit: int = 5) -> DataFrame:
         words = words + F.when(text.contains(w), 1).otherwise(0)
     score = F.when(text == exact, 100).when(text.contains(exact), 50).otherwise(0) + words
     return nodes.select("node", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "node").limit(limit)
+
+
+def graph_query(nodes: DataFrame, edges: DataFrame, query: str, direction: str = "both", inferred: bool = False, starts: int = 5, limit: int = 40, depth: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(nodes(node, depth), edges between them): what lies around the best matches of a query, nearest first.
+
+    The search stops at limit nodes, those of the last depth by name.
+    """
+    shown = visible(edges, inferred)
+    found = reach(shown, match_nodes(nodes, query, starts), direction, depth, limit)
+    found = Cutter(nodes.sparkSession, "graph_query").cut(found)
+    return found, induced(shown, found)
+
+
+def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges with both ends among nodes(node)."""
+    return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select(*edges.columns)
+
+
+def node_detail(edges: DataFrame, nodes: DataFrame, limit: int = 12) -> DataFrame:
+    """(node, side, other): the first callers and callees of nodes(node), by name, through all edges but containment."""
+    calls = edges.where("type <> 'contains'").select("src", "dst").distinct()
+    keep = nodes.select("node").distinct()
+    sides = calls.select(F.col("dst").alias("node"), F.lit("caller").alias("side"), F.col("src").alias("other")).unionByName(calls.select(F.col("src").alias("node"), F.lit("callee").alias("side"), F.col("dst").alias("other")))
+    rank = F.row_number().over(Window.partitionBy("node", "side").orderBy("other"))
+    return sides.join(keep, "node", "left_semi").withColumn("k", rank).where(F.col("k") <= limit).drop("k")
+
+
+def snippet(symbols: DataFrame, key: str, content: str, lines: int = 60) -> DataFrame:
+    """(key, snippet): the first lines of each content."""
+    return symbols.select(F.col(key), F.array_join(F.slice(F.split(F.coalesce(F.col(content), F.lit("")), "\n"), 1, lines), "\n").alias("snippet"))
+
+
+def labels_like(nodes: DataFrame, text: str) -> DataFrame:
+    """Nodes whose name holds a text, letter case ignored; the first by node is what a lookup by name opens."""
+    return nodes.where(F.lower("name").contains(text.strip().lower())).orderBy("node")
+
+
+def export_map(known: DataFrame) -> DataFrame:
+    """(file_path, names) of everything a file exports, from expand_reexports; names in order."""
+    return known.groupBy("file_path").agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+
+def neighbourhood(index: InvertedIndex, symbols: DataFrame, queries: list[str], limit: int = 5000, pushing: int = 25, per_query: int = 200, key: str = "id") -> tuple[DataFrame, bool]:
+    """(symbols(key), truncated): what searches for the queries find, and searches for the names and references of that.
+
+    Searches go level by level, all of a level at once. The first `pushing` of them pass on names;
+    it ends when nothing is left to search or limit (100 to 20,000) symbols are found.
+    """
+    cutter = Cutter(symbols.sparkSession, "neighbourhood")
+    limit = max(100, min(20_000, limit))
+    first = [q for q in dict.fromkeys(queries) if q]
+    pending = symbols.sparkSession.createDataFrame([(q, k) for k, q in enumerate(first)], "q string, place int")
+    searched = selected = None
+    done, rows = 0, symbols.where("name is not null").select(F.col(key).alias("key"), "name", "refs")
+    truncated = False
+    while True:
+        new = pending if searched is None else pending.join(searched, "q", "left_anti")
+        new = cutter.cut(new)
+        count = new.count()
+        have = selected.count() if selected is not None else 0
+        if not count or have >= limit:
+            truncated = count > 0
+            break
+        found = search_many(index, rows, new, min(per_query, limit - have))
+        found = found if selected is None else found.join(selected, "key", "left_anti")
+        found = cutter.cut(found.groupBy("key").agg(F.min("place").alias("place")).orderBy("place", "key").limit(limit - have))
+        selected = found.select("key") if selected is None else cutter.cut(selected.unionByName(found.select("key")))
+        searched = new.select("q") if searched is None else cutter.cut(searched.unionByName(new.select("q")))
+        quota = max(0, pushing - done)
+        done += count
+        if not quota:
+            pending = new.limit(0)
+            continue
+        sources = new.orderBy("place").limit(quota).select("place")
+        parents = found.join(sources, "place", "left_semi").join(rows, "key")
+        names = parents.select("place", "key", F.explode(F.concat(F.array("name"), F.coalesce(F.transform("refs", lambda r: r["name"]), F.array().cast("array<string>")))).alias("q")).where("q is not null and q <> ''")
+        pending = names.groupBy("q").agg(F.min(F.struct("place", "key")).alias("o")).select("q", F.row_number().over(Window.orderBy("o", "q")).cast("int").alias("place"))
+    return selected, truncated
+
+
+def search_many(index: InvertedIndex, symbols: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """(place, key): the best symbols of each of many queries(q, place) of one term, ranked like a single search."""
+    term = F.regexp_replace(F.lower(F.trim("q")), r"^[^a-z0-9_$]+|[^a-z0-9_$]+$", "")
+    parts = F.filter(F.split(term, r"[^\p{L}\p{N}]+"), lambda p: p != "")
+    asked = queries.select("q", "place", term.alias("term"), parts.alias("parts")).where(F.size("parts") > 0).withColumn("last", F.element_at("parts", -1))
+    posts = index.postings()
+    at = posts.join(asked.select("q", "last", F.substring("last", 1, 1).alias("c1")), (F.substring("term", 1, 1) == F.col("c1")) & F.col("term").startswith(F.col("last"))).select("q", "key", F.explode("positions").alias("at"))
+    longest = asked.agg(F.coalesce(F.max(F.size("parts")), F.lit(0))).first()[0]
+    for back in range(1, longest):
+        exact = asked.where(F.size("parts") > back).select("q", F.element_at("parts", -1 - back).alias("term"))
+        before = posts.join(exact, "term").select("q", "key", F.explode(F.transform("positions", lambda p: p + back)).alias("at"))  # noqa: B023
+        long = asked.where(F.size("parts") > back).select("q")
+        at = at.join(long, "q", "left_anti").unionByName(at.join(long, "q", "left_semi").join(before, ["q", "key", "at"], "left_semi"))
+    hits = at.groupBy("q", "key").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    lengths = index.lengths()
+    size = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
+    df = hits.groupBy("q").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.greatest(F.log((F.lit(size["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    score = F.round(idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("length") / F.lit(float(size["mean"] or 1.0)))), 9)
+    scored = hits.join(df, "q").join(lengths, "key").select("q", "key", score.alias("bm25"))
+    over = min(max(5 * limit, 50), 500)
+    best = scored.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bm25"), "key"))).where(F.col("k") <= over)
+    named = best.join(symbols.select("key", F.lower("name").alias("name")), "key").join(asked.select("q", "place", "term"), "q")
+    rank = F.when(F.col("name") == F.lower(F.trim("q")), 101).when(F.col("name").contains(F.col("term")), 51).otherwise(1)
+    order = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(rank), F.desc("bm25"), "key"))
+    return named.withColumn("r", order).where(F.col("r") <= limit).select("place", "key")
+
+
+def pool_neighbours(index: InvertedIndex, symbols: DataFrame, seeds: DataFrame, limit: int = 6, key: str = "id") -> DataFrame:
+    """Extracted callers and callees of seeds(node, key), in the graph of a pool that searches for their names and calls give.
+
+    Twenty symbols are searched for each seed's name and ten for each name it calls.
+    """
+    rows = symbols.where("name is not null").select(F.col(key).alias("key"), "name", "refs")
+    mine = seeds.select(F.col(key).alias("key")).distinct().join(rows, "key")
+    numbered = lambda q: q.where("q is not null and q <> ''").distinct().select("q", F.row_number().over(Window.orderBy("q")).cast("int").alias("place"))
+    called = mine.select(F.explode(F.filter("refs", lambda r: r["type"] == "call")).alias("r")).select(F.col("r.name").alias("q"))
+    pool = search_many(index, rows, numbered(mine.select(F.col("name").alias("q"))), 20).select("key").unionByName(search_many(index, rows, numbered(called), 10).select("key")).unionByName(mine.select("key")).distinct()
+    inside = symbols.join(pool, F.col(key) == F.col("key"), "left_semi")
+    return neighbours(build_edges(inside), seeds, limit)

@@ -12,6 +12,7 @@ keys whose older postings no longer count; reading leaves those out, compact() p
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -20,6 +21,7 @@ from zlib import crc32
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HEADS = 64
 WORDS = r"[A-Za-z0-9_]{2,}"  # of documents and memories
@@ -32,7 +34,9 @@ def head_of(term: str) -> int:
     return crc32(term[:1].encode()) % HEADS if term else HEADS
 
 
-def _write(docs: DataFrame, key: str, text: Column, tokens: str, positions: bool, path: str) -> None:
+def _write(docs: DataFrame, key: str, text: Column, tokens: str, positions: bool, path: str) -> str:
+    """Writes the postings of docs; their schema as JSON."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Postings:
         find, heads = re.compile(tokens).findall, {}
         for pdf in batches:
@@ -60,6 +64,7 @@ def _write(docs: DataFrame, key: str, text: Column, tokens: str, positions: bool
     kind = rows.schema["key"].dataType.simpleString()
     found = rows.mapInPandas(run, f"head int, term string, key {kind}, tf int" + (", positions array<int>" if positions else ""))
     found.repartitionByRange("head", "term", "key").sortWithinPartitions("head", "term", "key").write.partitionBy("head").parquet(path)
+    return found.schema.json()
 
 
 class InvertedIndex:
@@ -78,12 +83,27 @@ class InvertedIndex:
 
     def _add(self, docs: DataFrame, key: str, text: Column, gone: DataFrame | None, base: bool) -> None:
         n = max(self.segments(), default=0) + 1
-        _write(docs, key, text, self.tokens, self.positions, f"{self.path}/segment-{n}")
+        schema = _write(docs, key, text, self.tokens, self.positions, f"{self.path}/segment-{n}")
         if gone is not None:
             gone.select(F.col(key).alias("key")).distinct().write.parquet(f"{self.path}/gone-{n}")
+        self._ready(n, schema, base)
+
+    def _ready(self, n: int, schema: str, base: bool) -> None:
+        """Marks a segment complete; the mark holds the schema, as an empty segment has no files to tell it."""
         if base:
             self._fs.create(self._p(f"{self.path}/base-{n}"), False).close()
-        self._fs.create(self._p(f"{self.path}/ready-{n}"), False).close()
+        out = self._fs.create(self._p(f"{self.path}/ready-{n}"), False)
+        try:
+            out.write(bytearray(schema.encode()))
+        finally:
+            out.close()
+
+    def _schema(self, n: int) -> T.StructType:
+        stream = self._fs.open(self._p(f"{self.path}/ready-{n}"))
+        try:
+            return T.StructType.fromJson(json.loads(bytes(stream.readAllBytes()).decode()))
+        finally:
+            stream.close()
 
     def build(self, docs: DataFrame, key: str, text: Column) -> InvertedIndex:
         """Indexes every row of docs anew; null texts are empty documents."""
@@ -101,15 +121,14 @@ class InvertedIndex:
         n = max(self.segments()) + 1
         rows = self.postings()
         rows.repartitionByRange("head", "term", "key").sortWithinPartitions("head", "term", "key").write.partitionBy("head").parquet(f"{self.path}/segment-{n}")
-        self._fs.create(self._p(f"{self.path}/base-{n}"), False).close()
-        self._fs.create(self._p(f"{self.path}/ready-{n}"), False).close()
+        self._ready(n, rows.schema.json(), True)
         return self
 
     def postings(self, where: Column | None = None) -> DataFrame:
         """All postings that count; where is pushed into every segment."""
         out, numbers = None, self.segments()
         for k, n in enumerate(numbers):
-            rows = self.spark.read.parquet(f"{self.path}/segment-{n}")
+            rows = self.spark.read.schema(self._schema(n)).parquet(f"{self.path}/segment-{n}")
             rows = rows.where(where) if where is not None else rows
             for later in numbers[k + 1 :]:
                 path = f"{self.path}/gone-{later}"

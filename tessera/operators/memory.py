@@ -103,7 +103,7 @@ def tree_counts(tree: DataFrame) -> DataFrame:
     return tree.groupBy("wing").agg(F.countDistinct("room").alias("n_rooms"), F.count(F.lit(1)).alias("n_files"))
 
 
-def failure_body(failures: DataFrame) -> Column:
+def failure_body() -> Column:
     """The body of a failure's record: command, status, advice and next path, each on a line of its own if it is known."""
     return F.concat_ws(
         "\n\n", F.concat(F.lit("**Command:** `"), "command", F.lit("`")), F.concat(F.lit("**Status:** "), "status"), F.concat(F.lit("⚠️ **Do NOT retry:** "), "do_not_retry"), F.concat(F.lit("→ **Next path:** "), "next_path"),

@@ -9,6 +9,7 @@ from tessera.functions import text as T
 from tessera.operators import diff as D
 from tessera.operators import evaluate as E
 from tessera.operators import graph as G
+from tessera.plans.stored import stored_table
 from tessera.session import table
 from tessera.sources import markers as K
 from tessera.sources import tree as S
@@ -16,45 +17,61 @@ from tessera.sources import tree as S
 ALIASES = [("@app/*", "src/index/*")]
 
 
-def graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    """All edges of the symbol graph with confidence and reason."""
+def stored_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of the symbol graph, built once and read by every query on it."""
+    symbols = table(spark, d, "symbols")
+    return stored_table(spark, "edges", symbols.select("id", "file_path", "name", "type", "start_line", "refs"), lambda: G.build_edges(symbols, aliases=ALIASES))
+
+
+def stored_nodes(spark: SparkSession, d: str) -> DataFrame:
+    symbols = table(spark, d, "symbols")
+    return stored_table(spark, "nodes", symbols.select("id", "file_path", "name", "type", "start_line"), lambda: G.symbol_nodes(symbols))
+
+
+def graph_build(spark: SparkSession, d: str) -> DataFrame:
+    """All edges of the symbol graph with confidence and reason, built anew."""
     return G.build_edges(table(spark, d, "symbols"), aliases=ALIASES)
 
 
+def graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The stored edges."""
+    return stored_edges(spark, d)
+
+
 def graph_degrees(spark: SparkSession, d: str) -> DataFrame:
-    symbols = table(spark, d, "symbols")
-    return G.degrees(G.symbol_nodes(symbols), G.build_edges(symbols, aliases=ALIASES).where("type <> 'contains'"))
+    return G.degrees(stored_nodes(spark, d), stored_edges(spark, d).where("type <> 'contains'"))
 
 
 def graph_hubs(spark: SparkSession, d: str) -> DataFrame:
-    symbols = table(spark, d, "symbols")
-    return G.hubs(G.symbol_nodes(symbols), G.build_edges(symbols, aliases=ALIASES).where("type <> 'contains'"), 20)
+    return G.hubs(stored_nodes(spark, d), stored_edges(spark, d).where("type <> 'contains'"), 20)
 
 
 def graph_report(spark: SparkSession, d: str) -> DataFrame:
     """Edges by type and confidence."""
-    return G.build_edges(table(spark, d, "symbols"), aliases=ALIASES).groupBy("type", "confidence").agg(F.count(F.lit(1)).alias("n"))
+    return stored_edges(spark, d).groupBy("type", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _calls(spark: SparkSession, d: str) -> DataFrame:
-    return G.visible(G.build_edges(table(spark, d, "symbols"), aliases=ALIASES)).where("type <> 'contains'")
+def calls(spark: SparkSession, d: str) -> DataFrame:
+    return G.visible(stored_edges(spark, d)).where("type <> 'contains'")
+
+
+def seeds(spark: SparkSession, d: str) -> DataFrame:
+    """Where the walks start: the symbols of the file that was changed."""
+    return stored_nodes(spark, d).where("file_path = 'src/generated/api_surface.ts'")
 
 
 def graph_reach(spark: SparkSession, d: str) -> DataFrame:
     """What the symbols of one file reach within three steps, edges taken both ways."""
-    symbols = table(spark, d, "symbols")
-    return G.reach(_calls(spark, d), G.symbol_nodes(symbols).where("file_path = 'src/generated/api_surface.ts'"), "both", 3)
+    return G.reach(calls(spark, d), seeds(spark, d), "both", 3)
 
 
 def graph_impact(spark: SparkSession, d: str) -> DataFrame:
     """Who depends on the symbols of the generated file, two steps deep."""
-    symbols = table(spark, d, "symbols")
-    return G.impact(G.build_edges(symbols, aliases=ALIASES), G.symbol_nodes(symbols).where("file_path = 'src/generated/api_surface.ts'"), 2)
+    return G.impact(stored_edges(spark, d), seeds(spark, d), 2)
 
 
 def graph_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    symbols = table(spark, d, "symbols")
-    return G.neighbours(G.build_edges(symbols, aliases=ALIASES), G.symbol_nodes(symbols).where("file_path = 'src/generated/api_surface.ts' and start_line < 500"), 6)
+    return G.neighbours(stored_edges(spark, d), seeds(spark, d), 6)
 
 
 def import_targets(spark: SparkSession, d: str) -> DataFrame:
@@ -82,10 +99,12 @@ def commit_hunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ranges(spark: SparkSession, d: str) -> DataFrame:
-    """Hunks laid over files: each commit changes the file that its number leads to."""
-    files = table(spark, d, "symbols").where("file_path is not null").select(G.clean_path(F.col("file_path")).alias("file_path"), "id")
-    hunks = D.hunk_ranges(table(spark, d, "commits"), "commit_id", "diff")
-    return hunks.join(files, F.col("commit_id") == F.col("id")).select("file_path", "start", "end")
+    """Hunks laid over files: a commit changes the file of each symbol that its message names, if only one file has the name."""
+    symbols = table(spark, d, "symbols").where("name is not null and file_path is not null").select("name", G.clean_path(F.col("file_path")).alias("file_path")).distinct()
+    owners = symbols.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("file_path").alias("file_path")).where("n = 1").drop("n")
+    commits = table(spark, d, "commits")
+    named = commits.where("message is not null").select("commit_id", F.explode(F.array_distinct(F.regexp_extract_all("message", F.lit(r"([A-Za-z_]\w{3,})"), F.lit(1)))).alias("name"))
+    return named.join(owners, "name").join(D.hunk_ranges(commits, "commit_id", "diff"), "commit_id").select("file_path", "start", "end")
 
 
 def changed_symbols(spark: SparkSession, d: str) -> DataFrame:
@@ -94,23 +113,39 @@ def changed_symbols(spark: SparkSession, d: str) -> DataFrame:
     return D.changed_symbols(symbols, _ranges(spark, d)).select("id", "name")
 
 
+def _as_tests(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, taken as test files that mention symbols, and two that import them."""
+    docs = table(spark, d, "documents").where("text is not null and path is not null").select(F.concat(F.lit("docs/test/"), "path").alias("path"), F.col("text").alias("content"))
+    return docs.unionByName(spark.createDataFrame(TESTS, "path string, content string"))
+
+
+def _with_tested(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "symbols").select("file_path", "name")
+    return rows.unionByName(spark.createDataFrame(TESTED, "file_path string, name string"))
+
+
+TESTED = [("lib/sum.ts", "addAll"), ("lib/other.ts", "addAll"), ("lib/sum.ts", "subtractAll"), ("lib/index.ts", "onlyHere")]
+TESTS = [("test/sum.test.ts", "import { addAll as add } from '../lib/sum';\nimport onlyHere from '../lib';\nimport { subtractAll } from 'sums';\ntest(add);"), ("test/mention.test.ts", "// subtractAll and addAll are mentioned")]
+
+
 def review_files(spark: SparkSession, d: str) -> DataFrame:
-    """A review pack's table over the changed files."""
+    """A review pack's table over the changed files, with debt markers and failures that name them."""
     symbols = table(spark, d, "symbols")
     clean = symbols.withColumn("file_path", G.clean_path(F.col("file_path")))
-    tests = clean.where(T.is_test_file(F.col("file_path"))).select(F.col("file_path").alias("path"), "content")
     ranges = _ranges(spark, d)
-    return D.review_pack(ranges, clean, ranges, G.build_edges(symbols, aliases=ALIASES), D.test_associations(symbols, tests), 30)
+    marked = K.debt_markers(symbols, "id", "file_path", "content", "todo").join(clean.select("id", "file_path"), "id")
+    failures = table(spark, d, "failures")
+    mentions = D.mentions_of_paths(failures, "failure_id", "next_path", clean.select("file_path"))
+    return D.review_pack(ranges, clean, ranges, stored_edges(spark, d), D.test_associations(symbols, _as_tests(spark, d)), 30, marked, mentions)
 
 
 def symbol_mentions(spark: SparkSession, d: str) -> DataFrame:
-    """Symbols that a document mentions, documents taken as test files."""
-    docs = table(spark, d, "documents").where("text is not null and path is not null").select(F.concat(F.lit("docs/test/"), "path").alias("path"), F.col("text").alias("content"))
-    return D.test_associations(table(spark, d, "symbols"), docs)
+    """Symbols that test files import or mention."""
+    return D.test_associations(_with_tested(spark, d), _as_tests(spark, d))
 
 
 def untested_symbols(spark: SparkSession, d: str) -> DataFrame:
-    symbols = table(spark, d, "symbols").where("name is not null and file_path is not null").select(G.clean_path(F.col("file_path")).alias("file_path"), "name").distinct()
+    symbols = _with_tested(spark, d).where("name is not null and file_path is not null").select(G.clean_path(F.col("file_path")).alias("file_path"), "name").distinct()
     return D.untested(symbols, symbol_mentions(spark, d))
 
 
@@ -133,14 +168,28 @@ def debt_ledger(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Files of a snapshot against a state: new, stale, unchanged, gone."""
-    docs = table(spark, d, "documents").where("path is not null").groupBy(F.col("path").alias("file_path")).agg(F.max("text").alias("text"), F.max("doc_id").alias("doc_id"))
-    hashed = docs.select("file_path", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size"), F.lit(1).cast("long").alias("mtime_ms"), "doc_id")
-    now = hashed.where("doc_id % 5 <> 0").drop("doc_id")
-    before = hashed.where("doc_id % 7 <> 0").withColumn("content_hash", F.when(F.col("doc_id") % 3 == 0, F.lit("x")).otherwise(F.col("content_hash"))).withColumn("mtime_ms", F.when(F.col("doc_id") % 3 == 0, 2).otherwise(1).cast("long")).drop("doc_id")
+    """Files of a snapshot against a state: new, stale, unchanged, gone.
+
+    A document is a version of the file that its path without its number names. The state is what
+    the files held at CUTOFF, the snapshot what they hold since a year before it: every version of
+    every file is in one of them.
+    """
+    docs = table(spark, d, "documents").where("path is not null").select(F.regexp_replace("path", r"-\d+(\.\w+)?$", "$1").alias("file_path"), "text", "ts", "doc_id")
+    newest = F.max_by(F.struct("text", "ts"), F.struct(F.coalesce("ts", F.lit("0001-01-01").cast("timestamp")), "doc_id")).alias("v")
+    content = F.coalesce("v.text", F.lit(""))
+
+    def held(rows: DataFrame) -> DataFrame:
+        one = rows.groupBy("file_path").agg(newest)
+        return one.select("file_path", F.sha2(content, 256).alias("content_hash"), F.length(content).cast("long").alias("size"), F.coalesce(F.unix_millis("v.ts"), F.lit(0)).alias("mtime_ms"))
+
+    before = held(docs.where(f"ts is null or ts < '{CUTOFF}'"))
+    now = held(docs.where(f"ts >= '{CUTOFF}' - interval 365 days"))
     return S.classify_files(now, before)
 
 
+CUTOFF = "2025-12-01"
+
+
 def index_stats(spark: SparkSession, d: str) -> DataFrame:
     symbols = table(spark, d, "symbols")
     return symbols.groupBy(F.lower(F.regexp_extract("file_path", r"\.([A-Za-z]+)$", 1)).alias("extension")).agg(F.count(F.lit(1)).alias("n_symbols"), F.countDistinct("file_path").alias("n_files"), F.date_format(F.max("indexed_at"), "yyyy-MM-dd HH:mm:ss").alias("newest"))
@@ -182,7 +231,7 @@ def outcome_unpaired(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        graph_edges, graph_degrees, graph_hubs, graph_report, graph_reach, graph_impact, graph_neighbours, import_targets, reexport_origins, commit_hunks, changed_symbols, review_files, symbol_mentions,
+        graph_build, graph_edges, graph_degrees, graph_hubs, graph_report, graph_reach, graph_impact, graph_neighbours, import_targets, reexport_origins, commit_hunks, changed_symbols, review_files, symbol_mentions,
         untested_symbols, path_heat, debt_markers, debt_ledger, index_diff, index_stats, frequent_names, grep_lines, outcome_metrics, outcome_deltas, outcome_unpaired,
     )
 }
@@ -222,18 +271,38 @@ h2 AS (SELECT commit_id, hunk, regexp_extract(line, '\+(\d+)(?:,(\d+))?', 1) AS
 h3 AS (SELECT commit_id, hunk, s::BIGINT AS s, CASE WHEN c = '' THEN 1 ELSE c::BIGINT END AS c FROM h2 WHERE s <> ''),
 hunks AS (SELECT commit_id, hunk, CASE WHEN c = 0 THEN s + 1 ELSE s END AS start, CASE WHEN c = 0 THEN s ELSE s + c - 1 END AS "end" FROM h3)"""
 _CHANGED = f"""{_HUNKS}, csym AS (SELECT id, {_CLEAN} AS file_path, name, start_line, end_line FROM symbols),
-rng AS (SELECT s.file_path, h.start, h."end" FROM hunks h JOIN csym s ON s.id = h.commit_id WHERE s.file_path IS NOT NULL),
+onl AS (SELECT name, min(file_path) AS file_path FROM (SELECT DISTINCT name, file_path FROM csym WHERE name IS NOT NULL AND file_path IS NOT NULL) GROUP BY name HAVING count(*) = 1),
+nmd AS (SELECT DISTINCT commit_id, unnest(regexp_extract_all(message, '[A-Za-z_][A-Za-z0-9_]{{3,}}')) AS name FROM commits),
+rng AS (SELECT o.file_path, h.start, h."end" FROM nmd JOIN onl o USING (name) JOIN hunks h USING (commit_id)),
 hit AS (SELECT id, file_path, name, start_line FROM csym s WHERE EXISTS (SELECT 1 FROM rng r WHERE r.file_path = s.file_path AND s.start_line <= r."end" AND s.end_line >= r.start))"""
-_MENTION = rf"""src AS (SELECT DISTINCT name, {_CLEAN} AS source_file FROM symbols WHERE name IS NOT NULL AND NOT regexp_matches(file_path, '{"|".join(T.TEST_FILES)}')),
+_VALUES = lambda rows: ", ".join("(" + ", ".join("'" + c.replace("'", "''") + "'" for c in r) + ")" for r in rows)
+
+
+def _mention(tested: bool) -> str:
+    """Which tests go with a symbol: imports by where they lead, else mentions of a name that one file has."""
+    more = f" UNION SELECT name, file_path FROM (VALUES {_VALUES(TESTED)}) v(file_path, name)" if tested else ""
+    return rf"""src AS (SELECT DISTINCT name, {_CLEAN} AS source_file FROM symbols WHERE name IS NOT NULL AND NOT regexp_matches(file_path, '{"|".join(T.TEST_FILES)}'){more}),
 own AS (SELECT name, count(*) AS owners, min(source_file) AS only_file FROM src GROUP BY name),
-tst AS (SELECT 'docs/test/' || path AS test_file, text FROM documents WHERE text IS NOT NULL AND path IS NOT NULL),
-wrd AS (SELECT DISTINCT test_file, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'))) AS name FROM tst)"""
+tst AS (SELECT 'docs/test/' || path AS test_file, text FROM documents WHERE text IS NOT NULL AND path IS NOT NULL UNION ALL SELECT * FROM (VALUES {_VALUES(TESTS)}) v(test_file, text)),
+im0 AS (SELECT test_file, unnest(regexp_extract_all(text, 'import\s+\{{[^}}]+\}}\s+from\s+[''"][^''"]+[''"]')) AS i FROM tst),
+im1 AS (SELECT test_file, unnest(string_split(regexp_extract(i, '\{{([^}}]+)\}}', 1), ',')) AS n, regexp_extract(i, 'from\s+[''"]([^''"]+)', 1) AS specifier FROM im0
+  UNION ALL SELECT test_file, regexp_extract(i, 'import\s+(\w+)', 1), regexp_extract(i, 'from\s+[''"]([^''"]+)', 1) FROM (SELECT test_file, unnest(regexp_extract_all(text, 'import\s+[A-Za-z_]\w*\s+from\s+[''"][^''"]+[''"]')) AS i FROM tst)),
+imt AS (SELECT DISTINCT test_file, regexp_replace(trim(n), '\s+as\s+.*$', '') AS name, specifier FROM im1 WHERE trim(n) <> ''),
+gol AS (SELECT imt.*, regexp_replace(regexp_replace(test_file, '[^/]*$', '') || specifier, '[^/]+/\.\./', '') AS goal FROM imt),
+bim AS (SELECT DISTINCT g.name AS symbol_name, source_file, test_file, 'import' AS confidence FROM gol g JOIN src USING (name) JOIN own USING (name)
+  WHERE CASE WHEN starts_with(specifier, '.') THEN source_file = goal OR regexp_replace(source_file, '\.[^./]+$', '') IN (goal, goal || '/index') ELSE owners = 1 END),
+wrd AS (SELECT DISTINCT test_file, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'))) AS name FROM tst),
+men AS (SELECT * FROM bim UNION ALL SELECT w.name, only_file, test_file, 'mention' FROM wrd w JOIN own USING (name) WHERE owners = 1 AND length(w.name) >= 4 AND NOT EXISTS (SELECT 1 FROM imt WHERE imt.test_file = w.test_file AND imt.name = w.name))"""
+
+
+_MENTION = _mention(True)
 _ARM = """SELECT coalesce(scope, 'general') AS task_id, max(coalesce(ok, false)) AS success, count(*) AS attempts, greatest(count(*) FILTER (WHERE NOT coalesce(ok, false)) - 1, 0) AS repeated_failures,
 sum(length(command))::BIGINT AS duration_ms, sum(coalesce(length(symptom), 0))::BIGINT AS input_tokens FROM failures WHERE coalesce(retry_known_failure, false) = %s GROUP BY 1"""
 _METRICS = """SELECT count(*) AS tasks, count(*) FILTER (WHERE success) / count(*) AS completion, count(*) FILTER (WHERE success AND attempts = 1) / count(*) AS first_pass, count(*) FILTER (WHERE repeated_failures > 0) / count(*) AS repeated_rate,
 sum(repeated_failures)::BIGINT AS repeated, median(duration_ms) FILTER (WHERE success) AS median_ms, avg(input_tokens) AS mean_tokens FROM (%s)"""
 
 SQL = {
+    "graph_build": _GRAPH + "SELECT * FROM edge",
     "graph_edges": _GRAPH + "SELECT * FROM edge",
     "graph_degrees": _GRAPH + _DEGREE,
     "graph_hubs": _GRAPH + f"SELECT * FROM ({_DEGREE}) ORDER BY degree DESC, node LIMIT 20",
@@ -241,7 +310,7 @@ SQL = {
     "graph_reach": _GRAPH + "SELECT node, min(depth) AS depth FROM walk GROUP BY node",
     "graph_impact": _GRAPH + "SELECT node, min(depth) AS depth FROM up GROUP BY node HAVING min(depth) > 0",
     "graph_neighbours": _GRAPH
-    + "SELECT DISTINCT b AS node FROM (SELECT src AS a, dst AS b FROM call WHERE type = 'call' UNION SELECT dst, src FROM call WHERE type = 'call') WHERE a IN (SELECT node FROM node WHERE file_path = 'src/generated/api_surface.ts' AND start_line < 500) AND b NOT IN (SELECT node FROM node WHERE file_path = 'src/generated/api_surface.ts' AND start_line < 500) ORDER BY node LIMIT 6",
+    + "SELECT DISTINCT b AS node FROM (SELECT src AS a, dst AS b FROM call WHERE type = 'call' UNION SELECT dst, src FROM call WHERE type = 'call') WHERE a IN (SELECT node FROM node WHERE file_path = 'src/generated/api_surface.ts') AND b NOT IN (SELECT node FROM node WHERE file_path = 'src/generated/api_surface.ts') ORDER BY node LIMIT 6",
     "import_targets": f"""WITH sym AS (SELECT {_CLEAN} AS file_path, name, refs FROM symbols WHERE file_path IS NOT NULL), pair AS (SELECT DISTINCT file_path, r.specifier AS specifier FROM (SELECT file_path, unnest(refs) AS r FROM sym) WHERE r.type = 'import' AND r.specifier IS NOT NULL)
 SELECT p.file_path, p.specifier, arg_min(f.file_path, k) AS target FROM (SELECT *, {_BASE} AS base FROM pair) p, {_SUFFIX}, (SELECT DISTINCT file_path FROM sym WHERE name IS NOT NULL) f WHERE f.file_path = base || suffix GROUP BY ALL""",
     "reexport_origins": f"""WITH sym AS (SELECT DISTINCT {_CLEAN} AS file_path, name, type FROM symbols WHERE name IS NOT NULL AND file_path IS NOT NULL),
@@ -250,16 +319,16 @@ s AS (SELECT b.file_path, d.name, min(d.file_path) AS origin FROM b JOIN d ON d.
 SELECT file_path, name, file_path AS origin, name AS origin_name FROM d UNION ALL SELECT file_path, name, origin, name FROM s""",
     "commit_hunks": f"WITH {_HUNKS} SELECT * FROM hunks",
     "changed_symbols": f"WITH {_CHANGED} SELECT id, name FROM hit",
-    "symbol_mentions": f"""WITH {_MENTION} SELECT w.name AS symbol_name, only_file AS source_file, test_file, 'mention' AS confidence FROM wrd w JOIN own USING (name) WHERE owners = 1 AND length(w.name) >= 4""",
-    "untested_symbols": f"""WITH {_MENTION}, have AS (SELECT DISTINCT w.name, only_file AS file_path FROM wrd w JOIN own USING (name) WHERE owners = 1 AND length(w.name) >= 4),
-s AS (SELECT DISTINCT {_CLEAN} AS file_path, name FROM symbols WHERE name IS NOT NULL AND file_path IS NOT NULL)
-SELECT * FROM s WHERE NOT regexp_matches(file_path, '{"|".join(T.TEST_FILES)}') AND NOT EXISTS (SELECT 1 FROM have h WHERE h.name = s.name AND h.file_path = s.file_path)""",
+    "symbol_mentions": f"WITH {_MENTION} SELECT * FROM men",
+    "untested_symbols": f"""WITH {_MENTION}, s AS (SELECT DISTINCT {_CLEAN} AS file_path, name FROM symbols WHERE name IS NOT NULL AND file_path IS NOT NULL UNION SELECT file_path, name FROM (VALUES {_VALUES(TESTED)}) v(file_path, name))
+SELECT * FROM s WHERE NOT regexp_matches(file_path, '{"|".join(T.TEST_FILES)}') AND NOT EXISTS (SELECT 1 FROM men h WHERE h.symbol_name = s.name AND h.source_file = s.file_path)""",
     "path_heat": rf"""WITH t AS (SELECT failure_id, unnest(list_distinct(regexp_extract_all(symptom, '[A-Za-z0-9_./-]*[A-Za-z0-9_]\.[A-Za-z0-9_]{{1,8}}'))) AS token FROM failures),
 p AS (SELECT failure_id, string_split(token, '/') AS ps FROM t), u AS (SELECT DISTINCT failure_id, unnest(list_transform(range(1, len(ps) + 1), lambda i: array_to_string(ps[i:], '/'))) AS path FROM p)
 SELECT path, count(*) AS n FROM u WHERE path IN (SELECT {_CLEAN.replace('file_path', 'source')} FROM memories WHERE source LIKE '%/%') GROUP BY path""",
-    "index_diff": """WITH d AS (SELECT path AS file_path, max(text) AS text, max(doc_id) AS doc_id FROM documents WHERE path IS NOT NULL GROUP BY 1),
-n AS (SELECT * FROM d WHERE doc_id % 5 <> 0), b AS (SELECT * FROM d WHERE doc_id % 7 <> 0)
-SELECT coalesce(n.file_path, b.file_path) AS file_path, CASE WHEN b.file_path IS NULL THEN 'new' WHEN n.file_path IS NULL THEN 'gone' WHEN b.doc_id % 3 = 0 THEN 'stale' ELSE 'unchanged' END AS verdict FROM n FULL JOIN b ON n.file_path = b.file_path""",
+    "index_diff": rf"""WITH d AS (SELECT regexp_replace(path, '-\d+(\.\w+)?$', '\1') AS file_path, coalesce(text, '') AS text, ts, doc_id FROM documents WHERE path IS NOT NULL),
+b AS (SELECT * FROM d WHERE ts IS NULL OR ts < TIMESTAMPTZ '{CUTOFF} 00:00:00+00' QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY ts DESC NULLS LAST, doc_id DESC) = 1),
+n AS (SELECT * FROM d WHERE ts >= TIMESTAMPTZ '{CUTOFF} 00:00:00+00' - INTERVAL 365 DAYS QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY ts DESC, doc_id DESC) = 1)
+SELECT coalesce(n.file_path, b.file_path) AS file_path, CASE WHEN b.file_path IS NULL THEN 'new' WHEN n.file_path IS NULL THEN 'gone' WHEN b.text = n.text THEN 'unchanged' ELSE 'stale' END AS verdict FROM n FULL JOIN b ON n.file_path = b.file_path""",
     "index_stats": r"SELECT lower(regexp_extract(file_path, '\.([A-Za-z]+)$', 1)) AS extension, count(*) AS n_symbols, count(DISTINCT file_path) AS n_files, strftime(max(indexed_at), '%Y-%m-%d %H:%M:%S') AS newest FROM symbols GROUP BY 1",
     "frequent_names": "SELECT name, count(*) AS n FROM symbols WHERE regexp_matches(name, '^[A-Za-z_][A-Za-z0-9_]{4,}$') GROUP BY name ORDER BY n DESC, name LIMIT 5",
     "grep_lines": r"""WITH l AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM symbols)
@@ -273,3 +342,17 @@ SELECT id, line_no, trim(regexp_extract(line, '(?i)^\s*(?://|#|\*)\s*todo:\s*(.+
 FROM t WHERE regexp_matches(line, '(?i)^\s*(?://|#|\*)\s*todo:\s*(.+)$') AND NOT (coalesce(regexp_matches(file_path, '\.[cm]?[jt]sx?$'), false) AND ticks % 2 = 1)""",
 }
 SQL["debt_ledger"] = f"SELECT id, count(*) AS n, count(*) FILTER (WHERE NOT has_upgrade) AS n_without_trigger FROM ({SQL['debt_markers']}) GROUP BY id"
+SQL["review_files"] = (
+    _GRAPH.rstrip()
+    + f""",
+{_CHANGED}, {_mention(False)},
+ff AS (SELECT file_path FROM rng GROUP BY file_path ORDER BY file_path LIMIT 30), ht AS (SELECT DISTINCT file_path, name, start_line, 'symbol:' || file_path || ':' || name || ':' || coalesce(start_line, 0) AS node FROM hit SEMI JOIN ff USING (file_path)),
+un AS (SELECT file_path, count(*) AS k FROM ht WHERE NOT regexp_matches(file_path, '{"|".join(T.TEST_FILES)}') AND NOT EXISTS (SELECT 1 FROM men m WHERE m.symbol_name = ht.name AND m.source_file = ht.file_path) GROUP BY 1),
+ca AS (SELECT file_path, count(*) AS k FROM ht JOIN (SELECT DISTINCT src, dst FROM call) c ON c.dst = ht.node GROUP BY 1),
+ns AS (SELECT file_path, count(*) AS k FROM ht GROUP BY 1), de AS (SELECT s.file_path, count(*) AS k FROM ({SQL["debt_markers"]}) m JOIN csym s USING (id) GROUP BY 1),
+tk AS (SELECT failure_id, unnest(list_distinct(regexp_extract_all(next_path, '[A-Za-z0-9_./-]*[A-Za-z0-9_]\\.[A-Za-z0-9_]{{1,8}}'))) AS token FROM failures),
+tl AS (SELECT DISTINCT failure_id, unnest(list_transform(range(1, len(string_split(token, '/')) + 1), lambda i: array_to_string(string_split(token, '/')[i:], '/'))) AS path FROM tk), fa AS (SELECT path AS file_path, count(*) AS k FROM tl GROUP BY 1)
+SELECT ff.file_path, 'M' AS status, coalesce(ns.k, 0) AS n_symbols, coalesce(un.k, 0) AS n_untested, coalesce(ca.k, 0) AS n_callers, coalesce(de.k, 0) AS n_debts, coalesce(fa.k, 0) AS n_failures,
+  (SELECT count(DISTINCT file_path) FROM rng) AS n_touched, (SELECT count(DISTINCT file_path) FROM rng) > 30 AS truncated
+FROM ff LEFT JOIN ns USING (file_path) LEFT JOIN un USING (file_path) LEFT JOIN ca USING (file_path) LEFT JOIN de USING (file_path) LEFT JOIN fa USING (file_path)"""
+)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import analysis_queries, hierarchy_queries, retrieval_queries, store_queries
+from tessera.plans import analysis_queries, context_queries, hierarchy_queries, retrieval_queries, store_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (retrieval_queries, store_queries, analysis_queries, hierarchy_queries)
+MODULES = (retrieval_queries, store_queries, analysis_queries, hierarchy_queries, context_queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

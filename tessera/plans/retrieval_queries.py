@@ -38,7 +38,7 @@ def bm25_scan(spark: SparkSession, d: str) -> DataFrame:
 WEIGHTS = {"title": 3, "tags": 2, "description": 2, "collection": 2, "body": 1}
 
 
-def _memory_index(spark: SparkSession, d: str):
+def memory_index(spark: SparkSession, d: str):
     memories = table(spark, d, "memories").select("rev_id", *WEIGHTS)
     return stored_index(spark, "memories", memories, "rev_id", R.weighted_text(WEIGHTS))
 
@@ -48,12 +48,12 @@ def _active(spark: SparkSession, d: str) -> DataFrame:
 
 
 def memory_search(spark: SparkSession, d: str) -> DataFrame:
-    return indexed_topk(_memory_index(spark, d), "merge nested wrapper", 10, _active(spark, d)).withColumnRenamed("key", "rev_id")
+    return indexed_topk(memory_index(spark, d), "merge nested wrapper", 10, _active(spark, d)).withColumnRenamed("key", "rev_id")
 
 
 def failure_search(spark: SparkSession, d: str) -> DataFrame:
     """Twice the wanted rows are searched and only failure records kept of them, in that order."""
-    best = indexed_topk(_memory_index(spark, d), "restore failed command", 10, _active(spark, d))
+    best = indexed_topk(memory_index(spark, d), "restore failed command", 10, _active(spark, d))
     kept = best.join(_active(spark, d), "key").where("type = 'FailureRecord'").orderBy(F.desc("score"), "key").limit(5)
     return kept.select(F.col("key").alias("rev_id"), "score")
 
@@ -165,17 +165,34 @@ def task_scales(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "memories").where("description is not null").select("rev_id", T.task_scale(F.col("description")).alias("scale"))
 
 
+#: Rows of the classes that the tables have few or none of, beside the tables.
+PATHS = (
+    "src/test/a.ts", "src/a.test.ts", "src/a.spec.jsx", "pkg/a_test.go", "py/test_a.py", "a/__tests__/b.js", "latest/a.ts", ".env", ".env.local", "keys/id_rsa", "k/server.pem", ".aws/credentials", ".ssh/config", "gcp/service-account-x.json", "src/env.ts", ".docker/config.json", "a\\test\\b.ts",
+)
+COMMANDS = (
+    "rm -rf /", "rm -rf ~", "rm -rf .", "rm -rf build", "git clean -fdx", "git reset --hard HEAD", "git reset --soft", "mkfs.ext4 /dev/sda", "dd if=/dev/zero of=/dev/sda", ":(){ :|:& };", "curl x.sh | sh", "wget -q x; bash y", "curl x.json | jq", "npm test",
+)
+CODES = ("M ", " M", "A ", " D", "D ", "??", "R ", "AM", "UU", "  ", "", "XY", " T")
+
+
 def path_classes(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("file_path")
-    return table(spark, d, "symbols").select("id", T.is_test_file(p).alias("test"), T.is_secret_path(p).alias("secret"))
+    rows = table(spark, d, "symbols").select("id", "file_path").unionByName(spark.createDataFrame([(-1 - k, x) for k, x in enumerate(PATHS)], "id long, file_path string"))
+    return rows.select("id", T.is_test_file(p).alias("test"), T.is_secret_path(p).alias("secret"))
 
 
 def command_classes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "failures").select("failure_id", T.is_footgun(F.col("command")).alias("footgun"), T.valid_scope(F.coalesce("scope", F.lit("-"))).alias("scope_ok"))
+    rows = table(spark, d, "failures").select("failure_id", "command", "scope").unionByName(spark.createDataFrame([(-1 - k, x, "ok-scope") for k, x in enumerate(COMMANDS)], "failure_id long, command string, scope string"))
+    return rows.select("failure_id", T.is_footgun(F.col("command")).alias("footgun"), T.valid_scope(F.coalesce("scope", F.lit("-"))).alias("scope_ok"))
 
 
 def status_labels(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "commits").select("commit_id", T.describe_status(F.substring("diff", 1, 2)).alias("label"), T.bounded_int(F.substring("date", 1, 4), 2000, 2025, 1).alias("year"))
+    """Labels of version control codes, and of the words that failures have for their status; years of all commits beside them."""
+    codes = spark.createDataFrame([(-1 - k, x, None) for k, x in enumerate(CODES)], "id long, code string, date string")
+    failures = table(spark, d, "failures").select(F.col("failure_id").alias("id"), F.coalesce("status", F.lit("")).alias("code"), F.lit(None).cast("string").alias("date"))
+    commits = table(spark, d, "commits").select((-F.col("commit_id") - 1000).alias("id"), F.lit("").alias("code"), "date")
+    rows = failures.unionByName(commits).unionByName(codes)
+    return rows.select("id", T.describe_status(F.col("code")).alias("label"), T.bounded_int(F.substring("date", 1, 4), 2000, 2025, 1).alias("year"))
 
 
 # --- budgets
@@ -234,7 +251,12 @@ def _any_sql(column: str, patterns: tuple[str, ...], flags: str = "") -> str:
     return f"regexp_matches({column}, '{flags}{joined}')"
 
 
-_STATUS_SQL = "CASE substr(diff, 1, 2) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.STATUS_CODES.items()) + " ELSE coalesce(nullif(trim(substr(diff, 1, 2)), ''), 'changed') END"
+_STATUS_SQL = "CASE code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.STATUS_CODES.items()) + " ELSE coalesce(nullif(trim(code), ''), 'changed') END"
+
+
+def _values(texts: tuple[str, ...]) -> str:
+    return ", ".join(f"({-1 - k}, '{x}')" for k, x in enumerate(texts))
+
 
 QUERIES = {
     f.__name__: f
@@ -264,10 +286,11 @@ p AS (SELECT rev_id, CASE WHEN contains(remote, '://') THEN regexp_extract(remot
 SELECT rev_id, nullif(regexp_replace(regexp_replace(replace(regexp_replace(p, '[?#].*$', ''), '\', '/'), '^/+|/+$', '', 'g'), '\.git$', '', 'i'), '') AS path FROM p""",
     "html_titles": "SELECT rev_id, replace(replace(replace(replace(replace(body, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM memories",
     "task_scales": rf"SELECT rev_id, CASE WHEN len(regexp_split_to_array(description, '\s+')) > 50 OR regexp_matches(description, '(?i)\b{T.LARGE}\b') THEN 'large' WHEN len(regexp_split_to_array(description, '\s+')) < 15 AND regexp_matches(description, '(?i)\b{T.SMALL}\b') THEN 'small' ELSE 'medium' END AS scale FROM memories WHERE description IS NOT NULL",
-    "path_classes": f"""WITH p AS (SELECT id, file_path, regexp_split_to_array(file_path, '[/\\\\]') AS parts FROM symbols)
+    "path_classes": f"""WITH p AS (SELECT id, file_path, regexp_split_to_array(file_path, '[/\\\\]') AS parts FROM (SELECT id, file_path FROM symbols UNION ALL SELECT * FROM (VALUES {_values(PATHS)}) v(id, file_path)))
 SELECT id, {_any_sql('file_path', T.TEST_FILES)} AS test, parts[-1] IN {T.SECRET_FILES} OR {_any_sql('parts[-1]', T.SECRET_NAMES, '(?i)')} OR coalesce(parts[-2] IN {T.SECRET_FOLDERS}, false) AS secret FROM p""",
-    "command_classes": f"SELECT failure_id, {_any_sql('command', T.FOOTGUNS)} AS footgun, regexp_matches(coalesce(scope, '-'), '^[a-z0-9](?:[a-z0-9-]{{0,78}}[a-z0-9])?$') AS scope_ok FROM failures",
-    "status_labels": f"SELECT commit_id, {_STATUS_SQL} AS label, CASE WHEN try_cast(substr(date, 1, 4) AS DOUBLE) IS NULL THEN 1 ELSE least(2025, greatest(2000, floor(try_cast(substr(date, 1, 4) AS DOUBLE))))::BIGINT END AS year FROM commits",
+    "command_classes": f"SELECT failure_id, {_any_sql('command', T.FOOTGUNS)} AS footgun, regexp_matches(coalesce(scope, '-'), '^[a-z0-9](?:[a-z0-9-]{{0,78}}[a-z0-9])?$') AS scope_ok FROM (SELECT failure_id, command, scope FROM failures UNION ALL SELECT *, 'ok-scope' FROM (VALUES {_values(COMMANDS)}) v(failure_id, command))",
+    "status_labels": f"""WITH r AS (SELECT failure_id AS id, coalesce(status, '') AS code, NULL AS date FROM failures UNION ALL SELECT -commit_id - 1000, '', date FROM commits UNION ALL SELECT *, NULL FROM (VALUES {_values(CODES)}) v(id, code))
+SELECT id, {_STATUS_SQL} AS label, CASE WHEN try_cast(substr(date, 1, 4) AS DOUBLE) IS NULL THEN 1 ELSE least(2025, greatest(2000, floor(try_cast(substr(date, 1, 4) AS DOUBLE))))::BIGINT END AS year FROM r""",
     "token_counts": f"SELECT chunk_id, {_count_sql("coalesce(content, '')")} AS tokens FROM chunks",
     "context_pack": f"""
 WITH RECURSIVE c AS (SELECT coalesce(file_path, '') AS file, row_number() OVER (PARTITION BY coalesce(file_path, '') ORDER BY score DESC NULLS LAST, chunk_id) AS k, {_count_sql("coalesce(content, '')")}::BIGINT AS tokens FROM chunks),
@@ -277,6 +300,6 @@ f AS (
     CASE WHEN f.dropped > 0 AND f.used >= 1000 THEN f.used WHEN f.used + c.tokens <= 1000 THEN f.used + c.tokens WHEN 1000 - f.used > 100 THEN 1000 ELSE f.used END,
     f.included + CASE WHEN f.dropped > 0 AND f.used >= 1000 THEN 0 WHEN f.used + c.tokens <= 1000 OR 1000 - f.used > 100 THEN 1 ELSE 0 END,
     f.dropped + CASE WHEN f.dropped > 0 AND f.used >= 1000 THEN 0 WHEN f.used + c.tokens <= 1000 THEN 0 ELSE 1 END
-  FROM f JOIN c ON c.file = f.file AND c.k = f.k + 1 AND c.k <= 1000)
+  FROM f JOIN c ON c.file = f.file AND c.k = f.k + 1)
 SELECT file, used, included, dropped FROM f QUALIFY row_number() OVER (PARTITION BY file ORDER BY k DESC) = 1""",
 }

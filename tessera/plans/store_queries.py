@@ -43,16 +43,23 @@ def memory_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 def memory_federated(spark: SparkSession, d: str) -> DataFrame:
-    """Imported memories as a legacy store beside the others; those that are the same come from the archive."""
+    """Imported memories and all decisions as a legacy store beside the others; those that are the same come from the archive."""
     m = table(spark, d, "memories").select("rev_id", "id", "type", "title", "body", "source")
-    both = M.federate(m.where("coalesce(source, '') <> 'import'"), m.where("coalesce(source, '') = 'import' or rev_id % 7 = 0"))
+    both = M.federate(m.where("coalesce(source, '') <> 'import'"), m.where("coalesce(source, '') = 'import' or type = 'Decision'"))
     return both.select("rev_id", "archive_source")
 
 
+MOVED = [(-1, "general/moved-a", "general", "A title that another id has", "x"), (-2, "general/moved-b", "general", "A new title", "x"), (-3, "general/moved-c", "general", "Twice", "x"), (-4, "general/moved-c", "general", "Twice", "y")]
+THERE = [(-9, "general/there-a", "general", "A title that another id has", "x")]
+
+
 def migration_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    """What a migration of the general scope's memories into the rest would do."""
-    m = table(spark, d, "memories").where("id is not null and title is not null")
-    return M.classify_migration(m.where("source = 'session'"), m.where("source = 'import'"))
+    """What a migration of all memories would do to an archive that holds the newest version of all but the notes."""
+    columns = "rev_id long, id string, scope string, title string, body string"
+    m = table(spark, d, "memories").where("id is not null and title is not null").select("rev_id", "id", "scope", "title", "body", "type", "ts")
+    newest = M.upsert_latest(m, ["id"], [F.coalesce("ts", F.lit("0001-01-01").cast("timestamp")), F.col("rev_id")]).where("type <> 'Note'").select("rev_id", "id", "scope", "title", "body")
+    source = m.select("rev_id", "id", "scope", "title", "body").unionByName(spark.createDataFrame(MOVED, columns))
+    return M.classify_migration(source, newest.unionByName(spark.createDataFrame(THERE, columns)))
 
 
 def session_mining(spark: SparkSession, d: str) -> DataFrame:
@@ -66,10 +73,13 @@ def front_matter(spark: SparkSession, d: str) -> DataFrame:
     return M.parse_front_matter(M.front_matter(m)).select("rev_id", "type", "title", F.size("tags").cast("long").alias("n_tags"), "scope", "collection", "invalidated", F.length("body").cast("long").alias("n_chars"))
 
 
+GUARD_WIDTH = 2000  # ids of a stretch of a command's log
+
+
 def failure_guard(spark: SparkSession, d: str) -> DataFrame:
     """The state of each scope's and command's guard before and after each event."""
     f = table(spark, d, "failures").select("failure_id", "scope", "command", "ok", "retry_known_failure")
-    return FL.guard_batch(f, ["scope", "command"], "failure_id", "ok", "retry_known_failure").select("failure_id", "state_before", "state_after", "refused")
+    return FL.guard_batch(f, ["scope", "command"], "failure_id", "ok", "retry_known_failure", GUARD_WIDTH).select("failure_id", "state_before", "state_after", "refused")
 
 
 def failure_records(spark: SparkSession, d: str) -> DataFrame:
@@ -102,10 +112,13 @@ SELECT rev_id, CASE WHEN o.id IS NOT NULL THEN true ELSE invalidated END AS inva
     "memory_deleted": "SELECT rev_id FROM memories WHERE (id IS NULL OR id NOT IN (SELECT id FROM memories WHERE type = 'Note' AND id IS NOT NULL)) AND scope IS DISTINCT FROM 'general'",
     "memory_status": "SELECT scope, collection, count(*) AS n FROM (SELECT coalesce(scope, 'general') AS scope, coalesce(collection, 'general') AS collection FROM memories WHERE NOT coalesce(invalidated, false)) GROUP BY ROLLUP (scope, collection)",
     "memory_recall": "SELECT rev_id, id, title FROM memories WHERE NOT coalesce(invalidated, false) ORDER BY ts DESC NULLS LAST, rev_id DESC LIMIT 20",
-    "memory_federated": f"""WITH m AS (SELECT rev_id, source, {_FP} AS fp FROM memories), a AS (SELECT * FROM m WHERE coalesce(source, '') <> 'import')
-SELECT rev_id, 'archive' AS archive_source FROM a UNION ALL SELECT rev_id, 'legacy' FROM m WHERE (coalesce(source, '') = 'import' OR rev_id % 7 = 0) AND fp NOT IN (SELECT fp FROM a)""",
-    "migration_verdicts": """WITH m AS (SELECT *, sha256(coalesce(title, '') || chr(1) || coalesce(body, '')) AS fp FROM memories WHERE id IS NOT NULL AND title IS NOT NULL),
-s AS (SELECT * FROM m WHERE source = 'session'), t AS (SELECT * FROM m WHERE source = 'import'),
+    "memory_federated": f"""WITH m AS (SELECT rev_id, source, type, {_FP} AS fp FROM memories), a AS (SELECT * FROM m WHERE coalesce(source, '') <> 'import')
+SELECT rev_id, 'archive' AS archive_source FROM a UNION ALL SELECT rev_id, 'legacy' FROM m WHERE (coalesce(source, '') = 'import' OR type = 'Decision') AND fp NOT IN (SELECT fp FROM a)""",
+    "migration_verdicts": f"""WITH m0 AS (SELECT rev_id, id, scope, title, body, type, ts FROM memories WHERE id IS NOT NULL AND title IS NOT NULL),
+n0 AS (SELECT * FROM m0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC NULLS LAST, rev_id DESC) = 1),
+h AS (SELECT rev_id, id, scope, title, body FROM m0 UNION ALL SELECT * FROM (VALUES {", ".join(map(str, MOVED))}) v(rev_id, id, scope, title, body)),
+s AS (SELECT *, sha256(coalesce(title, '') || chr(1) || coalesce(body, '')) AS fp FROM h),
+t AS (SELECT *, sha256(coalesce(title, '') || chr(1) || coalesce(body, '')) AS fp FROM (SELECT rev_id, id, scope, title, body FROM n0 WHERE type <> 'Note' UNION ALL SELECT * FROM (VALUES {", ".join(map(str, THERE))}) v(rev_id, id, scope, title, body))),
 ti AS (SELECT id, max(fp) AS t_fp FROM t GROUP BY id), tt AS (SELECT scope, title, max(id) AS t_id FROM t GROUP BY ALL), b AS (SELECT id, count(DISTINCT fp) AS kinds FROM s GROUP BY id)
 SELECT rev_id, s.id, s.title, CASE WHEN kinds > 1 THEN 'conflict_batch' WHEN t_fp = fp THEN 'skip' WHEN t_fp IS NOT NULL THEN 'conflict_id' WHEN t_id <> s.id THEN 'conflict_title' ELSE 'copy' END AS verdict
 FROM s LEFT JOIN ti ON ti.id = s.id LEFT JOIN tt ON tt.scope = s.scope AND tt.title = s.title JOIN b ON b.id = s.id""",

@@ -77,7 +77,7 @@ def _python(text: str) -> list[tuple[str, str, int, int]]:
     return sorted(out, key=lambda s: (s[2], s[3]))
 
 
-_PY_HEAD = re.compile(r"^([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+(\w+)")
+_PY_HEAD = re.compile(r"^([ \t]*)(?:@[\w.]+(?:\([^)\n]*\))?[ \t]+)*(?:async[ \t]+)?(def|class)[ \t]+(\w+)")
 
 
 def python_by_lines(text: str) -> list[tuple[str, str, int, int]]:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,12 +15,54 @@ IGNORED = ("node_modules", ".git", "dist", "build", "coverage", ".next", ".nuxt"
 IGNORED_ENDINGS = ("lock", "log")
 
 
-def should_index(path: Column, ignored: tuple[str, ...] = ()) -> Column:
-    """Whether a path, relative to the root, is admitted; one filter for batches and streams."""
+def should_index(path: Column, ignored: tuple[str, ...] = (), rules: list[tuple[str, bool]] = []) -> Column:  # noqa: B006
+    """Whether a path, relative to the root, is admitted; one filter for batches and streams. rules are those of read_ignores."""
     parts = F.split(path, "/")
     hidden = F.exists(parts, lambda p: p.startswith(".") | p.isin(*IGNORED, *ignored))
     ending = F.lower(F.substring_index(path, ".", -1))
-    return ending.isin(*EXTENSIONS) & ~ending.isin(*IGNORED_ENDINGS) & ~hidden & ~path.startswith("../") & ~path.contains("/../")
+    return ending.isin(*EXTENSIONS) & ~ending.isin(*IGNORED_ENDINGS) & ~hidden & ~ignored_by(path, rules) & ~path.startswith("../") & ~path.contains("/../")
+
+
+def read_ignores(text: str) -> list[tuple[str, bool]]:
+    """(expression, whether it admits again) of a .gitignore's lines, to be tried in order; the last that matches counts."""
+    out = []
+    for line in text.splitlines():
+        line = re.sub(r"(?<!\\)\s+$", "", line)
+        if not line or line.startswith("#"):
+            continue
+        again = line.startswith("!")
+        rule = line[again:].lstrip("\\") if line[again:].startswith(("\\#", "\\!")) else line[again:]
+        folder, rule = rule.endswith("/"), rule.rstrip("/")
+        anchored = "/" in rule
+        body = ""
+        for part in re.findall(r"/\*\*/|\*\*/|/\*\*|\*|\?|\[[^\]]+\]|.", rule.lstrip("/")):
+            body += {"/**/": "/(?:.*/)?", "**/": "(?:.*/)?", "/**": "/.*", "*": "[^/]*", "?": "[^/]"}.get(part, part if part[0] == "[" and len(part) > 1 else re.escape(part))
+        out.append((f"{'^' if anchored else '(?:^|/)'}{body}{'/' if folder else '(?:/|$)'}", again))
+    return out
+
+
+def ignored_by(path: Column, rules: list[tuple[str, bool]]) -> Column:
+    """Whether a relative path is ignored; the rules are configuration, a handful, and become expressions."""
+    out = F.lit(False)
+    for expression, again in rules:
+        out = F.when(path.rlike(expression), F.lit(not again)).otherwise(out)
+    return out
+
+
+def read_aliases(text: str) -> list[tuple[str, str]]:
+    """(pattern, target) of the path aliases of a tsconfig with comments; none if it can't be read.
+
+    Of several targets the first counts; targets are read from the base folder.
+    """
+    bare = re.sub(r'("(?:\\.|[^"\\])*")|/\*[\s\S]*?\*/|//[^\n]*', lambda m: m[1] or "", text)
+    bare = re.sub(r",(\s*[}\]])", r"\1", bare)
+    try:
+        options = json.loads(bare).get("compilerOptions") or {}
+        base = str(options.get("baseUrl") or ".").rstrip("/")
+        pairs = [(k, v[0]) for k, v in (options.get("paths") or {}).items() if isinstance(v, list) and v and isinstance(v[0], str)]
+    except (ValueError, AttributeError, TypeError):
+        return []
+    return [(k, v if base in ("", ".") else f"{base}/{v}") for k, v in pairs]
 
 
 def relative(path: Column, root: str) -> Column:
@@ -24,10 +70,15 @@ def relative(path: Column, root: str) -> Column:
 
 
 def list_files(spark: SparkSession, root: str, ignored: tuple[str, ...] = ()) -> DataFrame:
-    """(file_path, size, mtime_ms, content) of the admitted files below root; unread columns are never loaded."""
+    """(file_path, size, mtime_ms, content) of the admitted files below root; unread columns are never loaded.
+
+    The root's own .gitignore counts.
+    """
+    place = Path(root) / ".gitignore"
+    rules = read_ignores(place.read_text()) if place.is_file() else []
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     files = files.select(relative(F.col("path"), root).alias("file_path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
-    return files.where(should_index(F.col("file_path"), ignored))
+    return files.where(should_index(F.col("file_path"), ignored, rules))
 
 
 def with_hash(files: DataFrame) -> DataFrame:

@@ -204,6 +204,12 @@ def test_provider(spark):
     assert spark.read.format("stub").option("query", "q" * 300).option("limit", "2").load().collect() == [("q" * 250, "w", "r", "f", 0.5)] * 2
     with pytest.raises(Exception, match="the provider failed"):
         spark.read.format("stub").option("query", "down").load().collect()
+    more = provider_source("more", search, taxonomy=lambda q, n: {"w": {"r": 2, "s": 1}}, status=lambda q, n: {"ok": True}, get=lambda q, n: [{"id": q, "wing": "w", "room": "r", "content": "c"}])
+    spark.dataSource.register(more)
+    read = lambda action: sorted(spark.read.format("more").option("action", action).option("query", "d1").load().collect())
+    assert read("taxonomy") == [("w", "r", 2), ("w", "s", 1)] and read("status") == [("ok", "True")] and read("get") == [("d1", "w", "r", "c")]
+    with pytest.raises(Exception, match="no list"):
+        read("list")
 
 
 def test_buckets_are_rewritten_alone(spark, tmp_path):
