@@ -16,7 +16,7 @@ from tessera.plans import analysis_queries as A
 from tessera.plans import retrieval_queries as R
 from tessera.plans import store_queries as S
 from tessera.plans.cut import Cutter
-from tessera.session import ensure_checkpoint_dir, table
+from tessera.session import table
 from tessera.sources import extract, markers, memory_files, store, tree
 from tessera.streaming import guard
 
@@ -245,7 +245,7 @@ def failure_settled(spark: SparkSession, d: str) -> DataFrame:
 
 def failure_stream(spark: SparkSession, d: str) -> DataFrame:
     """The guard over the same log as a stream."""
-    place = f"{ensure_checkpoint_dir(spark)}/guard-{spark.sparkContext.applicationId}-{abs(hash(d))}-{Cutter(spark, 'guard').folder[-8:]}"
+    place = Cutter(spark, "guard").folder
     source = table(spark, d, "failures")
     files = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
     name = source.inputFiles()[0]

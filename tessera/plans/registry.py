@@ -52,11 +52,42 @@ class Registry:
 
 
 def default_registry() -> Registry:
-    from tessera.operators import diff, graph, hierarchy, memory, retrieval
-    from tessera.sources import markers
+    from tessera.functions import prose
+    from tessera.operators import budget, context, diff, evaluate, failures, graph, hierarchy, inverted, memory, retrieval
+    from tessera.sources import extract, git, markers, memory_files, tree
 
     r = Registry()
-    r.add("search", retrieval.search_symbols, {"limit": (1, 200, 30)}, "context")
+    r.add("search", retrieval.search_symbols, {"limit": (1, 200, 30)})
+    r.add("context", context.hybrid_results, {"limit": (1, 200, 30)})
+    r.add("context_baseline", context.baseline_tokens)
+    r.add("index_search", inverted.search_indexed, {"limit": (1, 200, 30)})
+    r.add("index_memory_search", inverted.indexed_topk, {"limit": (1, 100, 10)})
+    r.add("extract", extract.extract_symbols, None, "index")
+    r.add("reexports", extract.extract_reexports)
+    r.add("list_files", tree.list_files)
+    r.add("walk", tree.walk, {"depth": (1, 20, 5)})
+    r.add("grep", tree.grep, {"per_file": (1, 1000, 50)})
+    r.add("read_file", tree.line_range)
+    r.add("changed_files", git.changed_files)
+    r.add("history", git.history, {"limit": (1, 100, 5)})
+    r.add("compress", prose.compressed)
+    r.add("truncate", budget.truncated, {"budget": (0, 1_000_000, 8000)})
+    r.add("pack", budget.pack_context, {"budget": (100, 1_000_000, 8000)})
+    r.add("memory_list", memory.list_memories)
+    r.add("memory_get", memory.get_memory)
+    r.add("memory_delete", memory.delete)
+    r.add("memory_invalidate", memory.invalidate)
+    r.add("memory_import", memory.imported_docs)
+    r.add("memory_export", memory_files.export_tree)
+    r.add("session_export", memory_files.session_sections, {"max_memories": (1, 1000, 15)})
+    r.add("session_import", memory_files.parse_session)
+    r.add("failure_guard", failures.guard_batch)
+    r.add("failure_records", failures.failure_records)
+    r.add("failure_settled", failures.settled_records)
+    r.add("evaluate", evaluate.deltas)
+    r.add("graph_neighbours", graph.neighbours, {"limit": (1, 100, 6)})
+    r.add("graph_detail", graph.node_detail, {"limit": (1, 100, 12)})
+    r.add("graph_build", graph.build_edges)
     r.add("memory_search", retrieval.bm25_topk, {"limit": (1, 100, 10)})
     r.add("memory_recall", memory.recall, {"limit": (1, 100, 20)})
     r.add("memory_status", memory.status)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from tessera.operators.inverted import WORDS, InvertedIndex, index_of
-from tessera.session import ensure_checkpoint_dir
+from tessera.plans.cut import application_folder
 
 _MADE: dict[str, set[str]] = {}
 
@@ -25,7 +25,7 @@ def _place(spark: SparkSession, name: str, source: DataFrame) -> str:
         status = path.getFileSystem(conf).getFileStatus(path)
         files.append(f"{f} {status.getLen()} {status.getModificationTime()}")
     digest = hashlib.sha256("\n".join(files).encode()).hexdigest()[:24]
-    return f"{ensure_checkpoint_dir(spark)}/stored-{spark.sparkContext.applicationId}/{name}-{digest}"
+    return f"{application_folder(spark)}/stored/{name}-{digest}"
 
 
 def stored_table(spark: SparkSession, name: str, source: DataFrame, build: Callable[[], DataFrame]) -> DataFrame:

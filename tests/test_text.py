@@ -22,7 +22,7 @@ def test_slugify(spark, value, want):
 
 def test_compression(spark):
     said = "Please make sure to utilize the cache, because it is very fast ."
-    assert one(spark, said, T.compress_prose) == prose.compress_span(said) == "use cache, bc it is fast."
+    assert one(spark, said, T.compress_prose) == prose.shorten(said) == "use cache, bc it is fast."
     assert one(spark, "due to the fact that", T.compress_prose) == "bc"
     assert prose.compress_text("see the `the code` and /the/path") == "see `the code` & /the/path"
     fenced = "```\nthe very same\n```"
