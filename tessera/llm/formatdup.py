@@ -25,7 +25,7 @@ OPTION = rf"(?<= )[{DASHES}](?:[^ =]*=[^ ]*|[^ =]+(?=\s|$)(?: (?![{DASHES}])[^ ]
 
 
 def with_fields(commands: DataFrame) -> DataFrame:
-    """(rec, n, fields) of rows (rec, n, command); a field is (kind, pos, raw), kind 0 setting, 1 word, 2 option.
+    """(rec, n, fields) of rows (rec, n, command); a field is (kind, raw), kind 0 setting, 1 the words in order, 2 option.
 
     Plain regular expressions over the whole command: all of it stays in generated code.
     """
@@ -35,15 +35,15 @@ def with_fields(commands: DataFrame) -> DataFrame:
     line = F.regexp_replace(line, " +", " ")
     split = commands.select("rec", "n", line.alias("line")).withColumn("head", F.regexp_extract("line", SETTINGS, 1))
     split = split.withColumn("rest", F.concat(F.lit(" "), F.expr("substring(line, length(head) + 1)")))
-    words = F.split(F.trim(F.regexp_replace(F.regexp_replace("rest", OPTION, ""), r"[^\p{L}\p{N}]+", " ")), " ")
+    words = F.trim(F.regexp_replace(F.regexp_replace("rest", OPTION, ""), r"[^\p{L}\p{N}]+", " "))
     split = split.select("rec", "n", F.split(F.trim("head"), " ").alias("head"), F.regexp_extract_all("rest", F.lit(OPTION), F.lit(0)).alias("options"), words.alias("words"))
-    field = lambda kind: lambda raw: F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("pos"), raw.alias("raw"))
+    field = lambda kind: lambda raw: F.struct(F.lit(kind).alias("kind"), raw.alias("raw"))
     present = lambda c: F.filter(c, lambda x: x != "")
     return split.select(
         "rec", "n",
         F.concat(
             F.transform(present("head"), field(0)),
-            F.transform("words", lambda raw, i: F.struct(F.lit(1).alias("kind"), i.cast("int").alias("pos"), raw.alias("raw"))),
+            F.transform(F.array("words"), field(1)),
             F.transform(present("options"), field(2)),
         ).alias("fields"),
     )
@@ -82,7 +82,7 @@ def collapse_formatting(rows: DataFrame, key: str, command: str) -> DataFrame:
     """
     raw = rows.select(F.col(key).alias("rec"), F.col(command).alias("command")).where(F.col("command").isNotNull())
     raw = raw.groupBy("command").agg(F.min("rec").alias("rec"), F.count(F.lit(1)).alias("n"))
-    fields = with_fields(raw).select("rec", "n", F.explode("fields").alias("f")).select("rec", "n", "f.kind", "f.pos", "f.raw")
+    fields = with_fields(raw).select("rec", "n", F.explode("fields").alias("f")).select("rec", "n", "f.kind", "f.raw")
     cutter = Cutter(rows.sparkSession, "formatdup")
     fields = cutter.cut(fields)  # read for the dictionary and for the tuples
     codes = cutter.cut(dictionary(fields))
@@ -91,7 +91,6 @@ def collapse_formatting(rows: DataFrame, key: str, command: str) -> DataFrame:
     hot = F.broadcast(codes.where(frequent).select("raw", F.col("code").alias("hot")))
     marked = fields.join(hot, "raw", "left")
     rare = marked.where("hot is null").join(codes.where(~frequent).select("raw", "code"), "raw")
-    coded = marked.where("hot is not null").withColumnRenamed("hot", "code").unionByName(rare.drop("hot")).select("rec", "n", F.struct("kind", "pos", "code").alias("e"))
+    coded = marked.where("hot is not null").withColumnRenamed("hot", "code").unionByName(rare.drop("hot")).select("rec", "n", F.struct("kind", "code").alias("e"))
     tuples = coded.groupBy("rec").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("e")).alias("es"))
-    tuples = tuples.select("rec", "n", F.transform("es", lambda e: F.struct(e["kind"].alias("kind"), e["code"].alias("code"))).alias("tuple"))
-    return tuples.groupBy("tuple").agg(F.min("rec").alias("rep_id"), F.sum("n").alias("n_copies"), F.count(F.lit(1)).alias("n_notations")).drop("tuple")
+    return tuples.groupBy("es").agg(F.min("rec").alias("rep_id"), F.sum("n").alias("n_copies"), F.count(F.lit(1)).alias("n_notations")).drop("es")
