@@ -42,3 +42,16 @@ def test_rows(spark):
     out = split_oversized(df, "id", "content").collect()
     assert {r["row_id"] for r in out} == {2} and len(out) == 2 * out[0]["n_pieces"]
     assert split_oversized(df.where("false"), "id", "content").count() == 0
+
+
+def test_most_cuts_are_at_line_ends():
+    """Text with lines is cut between them, never inside a word."""
+    import random
+
+    from tessera.llm.split import LINE, boundaries
+
+    rng = random.Random(1)
+    text = "\n".join(" ".join(rng.choice(["alpha", "beta", "gamma."]) for _ in range(rng.randrange(1, 40))) for _ in range(300))
+    strength = dict(boundaries(text, 1800))
+    cuts = [strength[a] for a, _ in split_text(text)[1:]]
+    assert len(cuts) > 10 and all(s >= LINE - 0.5 for s in cuts)

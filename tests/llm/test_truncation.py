@@ -64,3 +64,26 @@ def test_odd_rows(spark):
     got = [(r["doc_id"], r["source"], r["truncated"]) for r in X.truncated_texts(df, "k", "t", "s").collect()]
     assert sorted(got, key=repr) == sorted([(2, None, False), (3, None, False), (4, None, True), (4, None, True), (5, "a", True), (6, "a", True)], key=repr)
     assert X.truncated_texts(df.where("false"), "k", "t", "s").count() == 0
+
+
+def test_odds_come_from_counts():
+    """A tenth of the texts is cut; whole ones end on sentences and known list words, cuts mostly inside prose."""
+    cuts = {"prose/": 700, "list/other": 150, "list/word": 50, "sentence/": 100}
+    whole = {"prose/": 0, "list/other": 0, "list/word": 3000, "sentence/": 6000}
+    odds = X.Odds({e: (whole[e] + cuts[e], cuts[e]) for e in cuts})
+    assert 0.08 < odds.share < 0.12
+    assert odds.of("prose", "") + odds.prior > 3 and odds.of("list", "other") + odds.prior > 2
+    assert odds.of("list", "word") + odds.prior < -2
+    assert odds.of("sentence", "") == -9 and odds.of("mark", "") == 9 and odds.of("never", "seen") == 0
+    assert X.Odds({}).share == 0.01
+
+
+def test_the_posterior_turns_a_verdict_over(spark):
+    """The same ending is whole where it stands and cut at the limit of its source."""
+    rng = random.Random(6)
+    nouns = ["cache", "graph", "token", "index", "merger", "window"]
+    line = lambda: f"- the {rng.choice(nouns)} the {rng.choice(nouns)} the {rng.choice(nouns)} the {rng.choice(nouns)} the {rng.choice(nouns)}"
+    texts = ["\n".join(line() for _ in range(rng.randrange(3, 12))) for _ in range(6000)]
+    df = spark.createDataFrame([(k, t[:400], "log") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = X.truncated_texts(df, "doc_id", "text", "source").where("alone <> truncated").collect()
+    assert len(got) >= 10 and all(r["truncated"] and not r["alone"] and r["n"] == 400 and r["posterior"] > 0.9 for r in got)
