@@ -171,19 +171,20 @@ def reach(edges: DataFrame, starts: DataFrame, direction: str = "both", depth: i
     return seen.orderBy("depth", "node").limit(limit) if limit is not None else seen
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, depth: int = 20) -> DataFrame:
+def shortest_path(edges: DataFrame, start: str, goal: str, depth: int | None = None) -> DataFrame:
     """(step, node, via): one shortest way from start to goal, edges taken both ways; no row if there is none.
 
-    Of several predecessors the smallest name is kept, so the way is always the same.
+    Of several predecessors the smallest name is kept, so the way is always the same. The search
+    ends when the goal is found or nothing new is reached, or after depth steps if that is given.
     """
     spark = edges.sparkSession
     cutter = Cutter(spark, "path")
     steps = cutter.cut(edges.select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b"), "type"), F.struct(F.col("dst").alias("a"), F.col("src").alias("b"), "type"))).alias("e")).select("e.*"))
     seen = cutter.cut(spark.createDataFrame([(start, None, None, 0)], "node string, parent string, via string, depth int"))
     frontier, found = seen, start == goal
-    for k in range(1, depth + 1):
-        if found:
-            break
+    k = 0
+    while not found and (depth is None or k < depth):
+        k += 1
         nxt = frontier.select(F.col("node").alias("a")).join(steps, "a").groupBy("b").agg(F.min(F.struct("a", "type")).alias("p"))
         nxt = nxt.select(F.col("b").alias("node"), F.col("p.a").alias("parent"), F.col("p.type").alias("via"), F.lit(k).alias("depth")).join(seen.select("node"), "node", "left_anti")
         frontier = cutter.cut(nxt)
