@@ -35,6 +35,7 @@ from tessera.plans.cut import Cutter
 BINS = 1 << 16
 NEAR = 40  # lengths on either side that a spike is compared with
 SPIKE = 6.0  # times the mean of its surroundings
+BESIDE, SHARP = 3, 3.0  # times the most frequent of the lengths right beside it
 LEAST = 8  # texts at a limit
 
 _NONE = "\x00none"
@@ -197,6 +198,9 @@ def censoring(lengths: pd.DataFrame) -> pd.DataFrame:
     low, high = np.searchsorted(n, n - NEAR), np.searchsorted(n, n + NEAR, side="right")
     around = (total[high] - total[low] - c) / (2 * NEAR)
     spikes = (c >= LEAST) & (c > SPIKE * np.maximum(around, 0.25))
+    for k in np.flatnonzero(spikes):  # lengths may gather around some values; a limit stands out among its next neighbours too
+        beside = slice(np.searchsorted(n, n[k] - BESIDE), np.searchsorted(n, n[k] + BESIDE, side="right"))
+        spikes[k] = c[k] > SHARP * (np.partition(np.append(c[beside], 0.0), -2)[-2])
     if not spikes.any():
         return empty
     x = np.log(n)
