@@ -114,7 +114,14 @@ def test_associations_and_review(spark):
     assert {(r["symbol_name"], r["confidence"]) for r in a.collect()} == {("add", "import"), ("addAll", "mention")}
     ranges = spark.createDataFrame([("src/math.ts", 1, 7)], "file_path string, start long, end long")
     edges = spark.createDataFrame([("symbol:src/other.ts:addAll:1", "symbol:src/math.ts:add:1", "call", "EXTRACTED", "")], "src string, dst string, type string, confidence string, reason string")
-    assert tuple(diff.review_pack(ranges, s, ranges, edges, a).first()) == ("src/math.ts", 2, 1, 1)
+    counts = ["file_path", "n_symbols", "n_untested", "n_callers"]
+    assert tuple(diff.review_pack(ranges, s, ranges, edges, a).select(*counts).first()) == ("src/math.ts", 2, 1, 1)
+    files = spark.createDataFrame([("src/math.ts", "M"), ("src/gone.ts", "D"), ("src/z.ts", "A")], "file_path string, status string")
+    debts = spark.createDataFrame([("src/math.ts",), ("src/math.ts",)], "file_path string")
+    said = spark.createDataFrame([("src/math.ts", 3)], "path string, n long")
+    pack = diff.review_pack(files, s, ranges, edges, a, 2, debts, said)
+    assert [tuple(r) for r in pack.orderBy("file_path").collect()] == [("src/gone.ts", "D", 0, 0, 0, 0, 0, 3, True), ("src/math.ts", "M", 2, 1, 1, 2, 3, 3, True)]
+    assert {r["risk"] for r in diff.risks(pack).collect()} == {"has open debt markers", "1 changed symbol(s) have no matching test", "3 past failure record(s) mention this file"}
     block = spark.createDataFrame([("text",)], "t string").select(diff.inject_block(F.col("t"), F.lit("one")).alias("t"))
     assert block.select(diff.inject_block(F.col("t"), F.lit("one"))).first()[0] == block.first()["t"]
 
