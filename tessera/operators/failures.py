@@ -23,8 +23,8 @@ def guard_batch(events: DataFrame, keys: list[str], order: str, ok: str, retry:
     numbers, so that a command that holds a third of all rows is spread over many tasks: a first
     pass finds where a stretch leads from each of the three states, these few rows are chained
     for each key, and a second pass fills in the states from each stretch's own beginning. Chains
-    are built in three levels of at most a thousand links, as such maps can be put together, so
-    a command with a million stretches is no long array either.
+    are built in levels of at most LINKS links, as such maps can be put together, as many levels
+    as the largest number asks for, so a command with a million stretches is no long array either.
     """
     names = [c for c in events.columns]
     marked = events.withColumn("_key", F.to_json(F.struct(*keys))).withColumn("_part", F.floor(F.col(order) / width))
@@ -46,7 +46,10 @@ def guard_batch(events: DataFrame, keys: list[str], order: str, ok: str, retry:
 
     spread = marked.select("_key", "_part", F.col(order).alias("_at"), "_good", "_force").repartition("_key", "_part").sortWithinPartitions("_key", "_part", "_at")
     leads = spread.select("_key", "_part", "_good", "_force").mapInPandas(ends, f"_key string, _part long, {', '.join(f'{s} string' for s in STATES)}")
-    starts = _starts(leads, 2)
+    last, levels = events.agg(F.max(order)).first()[0] or 0, 0
+    while last // width >= LINKS ** (levels + 1):
+        levels += 1
+    starts = _starts(leads, levels)
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = None, CLEAN

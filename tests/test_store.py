@@ -258,11 +258,9 @@ def test_memory_lookups(spark):
     assert memory.manifest(rows).first()["n"] == 2 and memory.scope_index(rows).count() == 2
 
 
-def test_long_logs_are_chained_in_levels(spark):
-    import random
-
-    from tessera.operators import failures
-
+@pytest.mark.parametrize("links", [10, 1000])
+def test_long_logs_are_chained_in_levels(spark, monkeypatch, links):
+    monkeypatch.setattr(failures, "LINKS", links)
     rng = random.Random(4)
     rows = [(k * 3, "s", "c" if k % 3 else "d", rng.random() < 0.3, rng.random() < 0.1) for k in range(3000)]
     df = spark.createDataFrame(rows, "failure_id long, scope string, command string, ok boolean, retry boolean")
